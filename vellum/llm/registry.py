@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.llm import simhash
+from vellum.llm import packing, simhash
 
 QUERIES = {
+    "op5_packing": packing.op5_packing,
     "op9_simhash": simhash.op9_simhash,
 }
 
