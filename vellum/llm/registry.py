@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.llm import mixing, packing, simhash
+from vellum.llm import mixing, packing, simhash, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
     "op10_mixing": mixing.op10_mixing,
     "op5_packing": packing.op5_packing,
     "op9_simhash": simhash.op9_simhash,
