@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.llm import mixing, packing, simhash, toxicity
+from vellum.llm import linededup, mixing, packing, simhash, toxicity
 
 QUERIES = {
+    "op7_linededup": linededup.op7_linededup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op10_mixing": mixing.op10_mixing,
     "op5_packing": packing.op5_packing,
