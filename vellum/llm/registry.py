@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.llm import linededup, mixing, packing, simhash, toxicity
+from vellum.llm import linededup, mixing, packing, sharding, simhash, toxicity
 
 QUERIES = {
+    "op2_sharding": sharding.op2_sharding,
     "op7_linededup": linededup.op7_linededup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op10_mixing": mixing.op10_mixing,
