@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from vellum.llm import linededup, mixing, packing, sharding, simhash, toxicity
+from vellum.llm import linededup, mixing, onebit, packing, saat, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_saat": saat.op1_saat,
+    "op6_onebit": onebit.op6_onebit,
     "op2_sharding": sharding.op2_sharding,
     "op7_linededup": linededup.op7_linededup,
     "op4_toxicity": toxicity.op4_toxicity,
@@ -13,7 +15,9 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_saat": saat.ORACLE,
+}
 
 
 def queries() -> dict:
