@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.llm import linededup, mixing, onebit, packing, saat, sharding, simhash, toxicity
+from vellum.llm import htmltext, linededup, mixing, onebit, packing, saat, sharding, simhash, toxicity
 
 QUERIES = {
+    "op3_htmltext": htmltext.op3_htmltext,
     "op1_saat": saat.op1_saat,
     "op6_onebit": onebit.op6_onebit,
     "op2_sharding": sharding.op2_sharding,
