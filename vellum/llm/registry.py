@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.llm import htmltext, linededup, mixing, onebit, packing, saat, sharding, simhash, toxicity
+from vellum.llm import htmltext, linededup, mixing, onebit, packing, saat, sharding, simhash, toxicity, warc
 
 QUERIES = {
+    "op8_warc": warc.op8_warc,
     "op3_htmltext": htmltext.op3_htmltext,
     "op1_saat": saat.op1_saat,
     "op6_onebit": onebit.op6_onebit,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op8_warc": warc.ORACLE,
     "op1_saat": saat.ORACLE,
 }
 
