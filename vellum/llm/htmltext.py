@@ -28,7 +28,7 @@ from vellum.llm.common import table
 SAMPLE, SAMPLE_CHARS = 300, 50_000
 MODEL_PAGES = 300
 #: Words of a piece of furniture that count against a run; the others only make it longer.
-INSET_WORDS = 10
+INSET_WORDS = 3
 SEED = 5
 
 TOKEN = re.compile(
