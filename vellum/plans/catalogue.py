@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import manuscripts
+from vellum.plans import manuscripts, relational
 from vellum.plans.registry import Query
 
-MODULES = (manuscripts,)
+MODULES = (manuscripts, relational)
 
 
 def queries() -> dict[str, Query]:
