@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from vellum.llm.common import cut, free_name, table, text_or_empty
 
 MIN_WORDS = 50
-GRAM_WORDS = 25
+GRAM_WORDS = 15
 LINE_END = re.compile(r"\n|[.!?]+[ \t]+")
 #: Multiplier of the rolling hash over line hashes (odd).
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -53,14 +53,22 @@ def lines(text: str) -> tuple[list[str], list[int]]:
     return out, ends
 
 
-def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash (uint64) and number of words of each line."""
-    split = [x.split() for x in lines(text)[0]]
+def line_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (uint64) and number of words of each line of all texts, and where each text's lines start."""
     digest = xxhash.xxh3_64_intdigest
-    hashes = np.fromiter((digest(" ".join(w).encode()) for w in split), dtype=np.uint64, count=len(split))
-    return hashes, np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-
-
+    hashes: list[int] = []
+    words: list[int] = []
+    starts = [0]
+    for text in texts:
+        for x in lines(text)[0]:
+            w = x.split()
+            hashes.append(digest(" ".join(w)))
+            words.append(len(w))
+        starts.append(len(words))
+    return np.array(hashes, dtype=np.uint64), np.array(words, dtype=np.int64), np.array(starts, dtype=np.int64)
+
+
+#: The inverse of MIX modulo 2 ** 64.
 UNMIX = np.uint64(pow(int(MIX), -1, 1 << 64))
 
 
@@ -77,29 +85,31 @@ def _finish(x: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """Hashes of runs of a document's lines."""
+    """Hashes of runs of lines, of many documents at once; ``starts`` has where each one's lines start."""
 
-    def __init__(self, hashes: np.ndarray, words: np.ndarray) -> None:
-        self.n = len(hashes)
+    def __init__(self, hashes: np.ndarray, words: np.ndarray, starts: np.ndarray) -> None:
+        n = len(hashes)
         # sum of hash * MIX^i; a run's sum is brought down to power zero, so equal runs agree anywhere
-        self.down = _powers(UNMIX, self.n)
-        self.sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_finish(hashes) * _powers(MIX, self.n)[: self.n], dtype=np.uint64)))
+        self.down = _powers(UNMIX, n)
+        self.sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_finish(hashes) * _powers(MIX, n)[:n], dtype=np.uint64)))
         self.words = np.concatenate(([0], np.cumsum(words)))
+        self.owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        self.first, self.last = starts[:-1][self.owner], starts[1:][self.owner]  # of each line's document
 
     def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of lines a to b - 1."""
         return _finish((self.sum[b] - self.sum[a]) * self.down[a] ^ (b - a).astype(np.uint64))
 
     def forward(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(a, b) of the shortest run of ``least`` words from each line that has one."""
+        """(a, b) of the shortest run of ``least`` words from each line that has one in its document."""
         b = np.searchsorted(self.words, self.words[:-1] + least)
-        a = np.flatnonzero(b <= self.n)
+        a = np.flatnonzero(b <= self.last)
         return a, b[a]
 
     def backward(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(a, b) of the shortest run of ``least`` words up to each line that has one."""
+        """(a, b) of the shortest run of ``least`` words up to each line that has one in its document."""
         a = np.searchsorted(self.words, self.words[1:] - least, side="right") - 1
-        b = np.flatnonzero(self.words[1:] >= least)
+        b = np.flatnonzero(a >= self.first)
         return a[b], b + 1
 
 
@@ -117,64 +127,82 @@ def _range_least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
     return out
 
 
-def windows(hashes: np.ndarray, words: np.ndarray, least: int = MIN_WORDS, gram: int = GRAM_WORDS) -> tuple[np.ndarray, ...]:
-    """(a, b, hash, fingerprint) of each window, forward and backward ones."""
-    runs = Runs(hashes, words)
+def windows(runs: Runs, least: int = MIN_WORDS, gram: int = GRAM_WORDS) -> tuple[np.ndarray, ...]:
+    """(a, b, hash, fingerprint) of each window, forward and backward ones, and the hashes of all grams with their lines."""
     ga, gb = runs.forward(gram)
     fa, fb = runs.forward(least)
     ba, bb = runs.backward(least)
     a, b = np.concatenate((fa, ba)), np.concatenate((fb, bb))
+    grams = runs.hash(ga, gb)
     if not len(a):
         none = np.zeros(0, np.uint64)
-        return a, b, none, none
-    grams = runs.hash(ga, gb)
+        return a, b, none, none, grams, ga
     # grams inside a window: from its first line on, as far as they end in it; their ends ascend
     first, last = np.searchsorted(ga, a), np.searchsorted(gb, b, side="right")
-    return a, b, runs.hash(a, b), _range_least(grams, first, np.maximum(last, first + 1))
+    return a, b, runs.hash(a, b), _range_least(grams, first, np.maximum(last, first + 1)), grams, ga
+
+
+def _distinct(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs, in order, and how often each comes."""
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(owner)), bool), (owner[1:] != owner[:-1]) | (value[1:] != value[:-1]))))
+    return owner[heads], value[heads], np.diff(np.append(heads, len(owner)))
 
 
 def _hash_lines(least: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, words, prints = [], [], []
-            for text in batch.column(2).to_pylist():
-                h, w = line_hashes(text)
-                chosen = np.unique(windows(h, w, least, gram)[3])
-                if len(chosen):
-                    # one that stands twice in the document is listed twice
-                    runs = Runs(h, w)
-                    all_grams, times = np.unique(runs.hash(*runs.forward(gram)), return_counts=True)
-                    chosen = np.concatenate((chosen, chosen[np.isin(chosen, all_grams[times > 1])]))
-                hashes.append(h.tobytes())
-                words.append(w.astype("<i4").tobytes())
-                prints.append(chosen.view(np.int64))
-            flat = pa.array(np.concatenate(prints) if prints else np.zeros(0, np.int64))
-            ends = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in prints]))).astype(np.int32))
-            columns = [batch.column(0), batch.column(1), pa.array(hashes, pa.binary()), pa.array(words, pa.binary()), pa.ListArray.from_arrays(ends, flat)]
+            h, w, starts = line_hashes(batch.column(2).to_pylist())
+            n = len(starts) - 1
+            runs = Runs(h, w, starts)
+            a, _, _, prints, grams, at = windows(runs, least, gram)
+            owner, chosen, _ = _distinct(runs.owner[a], prints)
+            # one that stands twice in its document is listed twice
+            g_owner, g_value, times = _distinct(runs.owner[at], grams)
+            twice = times > 1
+            seen = np.isin(_finish(g_owner[twice].astype(np.uint64)) ^ g_value[twice], _finish(owner.astype(np.uint64)) ^ chosen)
+            owner, chosen = np.concatenate((owner, g_owner[twice][seen])), np.concatenate((chosen, g_value[twice][seen]))
+            order = np.argsort(owner, kind="stable")
+            ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32)
+            raw, raw_words = h.tobytes(), w.astype("<i4").tobytes()
+            bounds = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+            columns = [
+                batch.column(0), batch.column(1), pa.array([raw[8 * i : 8 * j] for i, j in bounds], pa.binary()),
+                pa.array([raw_words[4 * i : 4 * j] for i, j in bounds], pa.binary()),
+                pa.ListArray.from_arrays(ends, pa.array(chosen[order].view(np.int64))),
+            ]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "hashes", "words", "prints"])
 
     return run
 
 
 def _matched_windows(least: int, gram: int):
-    """The windows that chose one of the repeated fingerprints."""
+    """The windows that chose one of their document's repeated fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks, at, hashes = [], [], [], []
-            for i, m, h, w, repeated in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b, whole, prints = windows(np.frombuffer(h, np.uint64), np.frombuffer(w, "<i4").astype(np.int64), least, gram)
-                keep = np.isin(prints.view(np.int64), np.array(repeated, dtype=np.int64))
-                # a forward and a backward window may be the same run
-                both, first = np.unique(np.stack((a[keep], b[keep]), 1), axis=0, return_index=True)
-                ids += [i] * len(first)
-                marks += [m] * len(first)
-                at.append(both)
-                hashes.append(whole[keep][first])
-            if ids:
-                a, b = np.concatenate(at).astype(np.int32).T
-                columns = [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(a.copy()), pa.array(b.copy()), pa.array(np.concatenate(hashes).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "a", "b", "h"])
+            h = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
+            words = batch.column(3).to_pylist()
+            w = np.frombuffer(b"".join(words), "<i4").astype(np.int64)
+            starts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in words]))).astype(np.int64)
+            runs = Runs(h, w, starts)
+            a, b, whole, prints, _, _ = windows(runs, least, gram)
+            repeated = batch.column(4)
+            sizes = repeated.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            wanted = _finish(np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64)) ^ repeated.flatten().to_numpy().view(np.uint64)
+            owner = runs.owner[a]
+            keep = np.isin(_finish(owner.astype(np.uint64)) ^ prints, wanted)
+            # a forward and a backward window may be the same run
+            a, b, whole, owner = a[keep], b[keep], whole[keep], owner[keep]
+            order = np.lexsort((b, a))
+            a, b, whole, owner = a[order], b[order], whole[order], owner[order]
+            first = np.concatenate((np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            a, b, whole, owner = a[first], b[first], whole[first], owner[first]
+            at = starts[owner]
+            pick = pa.array(owner)
+            columns = [batch.column(0).take(pick), batch.column(1).take(pick), pa.array((a - at).astype(np.int32)), pa.array((b - at).astype(np.int32)), pa.array(whole.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "a", "b", "h"])
 
     return run
 
@@ -190,13 +218,14 @@ def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("t"))
     hashed = cut(own.mapInArrow(_hash_lines(least, gram), "id long, mark long, hashes binary, words binary, prints array<long>"))
     prints = hashed.select("id", "mark", F.explode("prints").alias("print"))
-    repeated = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    # cut, so that the join reads its sides as they are dealt and can split a hot fingerprint
+    repeated = cut(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"))
     chosen = prints.join(repeated, "print").groupBy("id", "mark").agg(F.collect_set("print").alias("repeated"))
     chosen = chosen.select(F.col("id").alias("own_id"), F.col("mark").alias("own_mark"), "repeated")
     same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))
     picked = hashed.drop("prints").join(chosen, same).select("id", "mark", "hashes", "words", "repeated")
     found = cut(picked.mapInArrow(_matched_windows(least, gram), "id long, mark long, a int, b int, h long"))
-    first = found.groupBy("h").agg(F.min(F.struct("id", "mark", "a")).alias("first"))
+    first = cut(found.groupBy("h").agg(F.min(F.struct("id", "mark", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("a") == F.col("first.a"))
     later = found.join(first, "h").where(~is_first)
     return later.groupBy("id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
