@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import manuscripts, relational
+from vellum.plans import manuscripts, prose, relational
 from vellum.plans.registry import Query
 
-MODULES = (manuscripts, relational)
+MODULES = (manuscripts, relational, prose)
 
 
 def queries() -> dict[str, Query]:
