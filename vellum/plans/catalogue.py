@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import manuscripts, prose, relational
+from vellum.plans import manuscripts, prose, relational, workload
 from vellum.plans.registry import Query
 
-MODULES = (manuscripts, relational, prose)
+MODULES = (manuscripts, relational, prose, workload)
 
 
 def queries() -> dict[str, Query]:
