@@ -163,3 +163,35 @@ def to_markdown(found: DataFrame, cell_rows: DataFrame | None = None) -> DataFra
         lines = lines.unionByName(places.join(whole, ["doc", "table"]).select("doc", "pos", "md"))
     ordered = lines.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "md"))).alias("b"))
     return ordered.select("doc", F.concat(F.array_join(F.transform("b", lambda x: x["md"]), "\n\n"), F.lit("\n")).alias("markdown"))
+
+
+def paragraphs_of(parts: DataFrame) -> DataFrame:
+    """``(doc, pos, xml)``: each paragraph's own markup, nested ones included, in document order."""
+    from vellum.functions import editing
+
+    def read(root):  # noqa: ANN001, ANN202
+        for pos, p in enumerate(root.iter(wordml.W + "p")):
+            yield {"pos": pos, "xml": editing.write(p)}
+
+    return rows_of(parts, read, "pos int, xml string")
+
+
+def apply_edits(paragraphs: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Paragraphs ``(doc, pos, xml)`` after the edits ``(doc, seq, name, sign, old, new)``, and the verdicts.
+
+    A document's edits run in order, each on what the ones before left; documents are independent.
+    """
+    from vellum.functions import editing
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = sorted(left.to_pylist(), key=lambda r: r["pos"])
+        steps = [editing.Edit(r["name"], r["sign"], r["old"], r["new"]) for r in sorted(right.to_pylist(), key=lambda r: r["seq"])]
+        doc = (rows or right.to_pylist())[0]["doc"]
+        made, verdicts = editing.apply_batch([r["xml"] for r in rows], steps)
+        out = [{"doc": doc, "pos": r["pos"], "xml": x, "name": None, "ok": None, "why": None} for r, x in zip(rows, made, strict=True)]
+        out += [{"doc": doc, "pos": k, "xml": None, "name": n, "ok": ok, "why": why} for k, (n, ok, why) in enumerate(verdicts)]
+        return pa.Table.from_pylist(out, schema=pa.schema([("doc", pa.string()), ("pos", pa.int32()), ("xml", pa.string()), ("name", pa.string()), ("ok", pa.bool_()), ("why", pa.string())]))
+
+    schema = "doc string, pos int, xml string, name string, ok boolean, why string"
+    both = paragraphs.select("doc", "pos", "xml").groupBy("doc").cogroup(edits.select("doc", "seq", "name", "sign", "old", "new").groupBy("doc")).applyInArrow(run, schema)
+    return both.where("name IS NULL").select("doc", "pos", "xml"), both.where("name IS NOT NULL").select("doc", F.col("pos").alias("seq"), "name", "ok", "why")
