@@ -173,17 +173,16 @@ def rows_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH was AS (SELECT DISTINCT l_partkey AS bookmark FROM lineitem WHERE l_shipdate < DATE '1995-01-01'), now AS (SELECT DISTINCT l_partkey AS bookmark FROM lineitem WHERE l_shipdate >= DATE '1995-01-01' AND l_discount > 0.09),
-         back AS (SELECT DISTINCT l_partkey AS bookmark FROM lineitem WHERE l_tax > 0.06)
+    WITH was AS (SELECT l_orderkey AS bookmark FROM lineitem WHERE l_returnflag = 'A'), now AS (SELECT l_orderkey AS bookmark FROM lineitem WHERE l_returnflag = 'N'),
+         back AS (SELECT l_orderkey AS bookmark FROM lineitem WHERE l_tax > 0.06)
     SELECT bookmark FROM (SELECT bookmark FROM was EXCEPT SELECT bookmark FROM now) INTERSECT SELECT bookmark FROM back
     """
 )
 def restored_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bookmarks that an edit removed and that were put back."""
-    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "bookmark")
-    was = rows.where("l_shipdate < DATE '1995-01-01'").select("bookmark")
-    now = rows.where("l_shipdate >= DATE '1995-01-01' AND l_discount > 0.09").select("bookmark")
-    return was.subtract(now).intersect(rows.where("l_tax > 0.06").select("bookmark"))
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "bookmark")
+    pick = lambda where: rows.where(where).select("bookmark")
+    return pick("l_returnflag = 'A'").subtract(pick("l_returnflag = 'N'")).intersect(pick("l_tax > 0.06"))
 
 
 @query(
