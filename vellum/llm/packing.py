@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import table, text_or_empty
+from vellum.llm.common import table, text_or_empty, tidy
 from vellum.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -120,6 +120,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
                 at += len(part)
         if ids:
             yield flush(ids, tokens, first)[0]
+        tidy()
 
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
     return picked.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut, free_name, table, text_or_empty
+from vellum.llm.common import cut, free_name, table, text_or_empty, tidy
 from vellum.llm.components import components
 
 SEED = 42
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             values = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["id", "fp"])
+        tidy()
 
     picked = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("t"))
     return picked.mapInArrow(run, "id long, fp long")

@@ -12,7 +12,7 @@ import unicodedata
 import numpy as np
 
 #: Entries of a worker's memory; it is emptied when full.  A matter of speed and memory only.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Longer chunks aren't remembered.
 LONGEST = 64
 #: Steps of a tokenizer that leave a word of letters whole, in this order.

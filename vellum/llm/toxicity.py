@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import free_name, table
+from vellum.llm.common import free_name, table, tidy
 
 #: Labelled documents of each label that fitting may take to the driver.
 SAMPLE = {1: 900, 0: 1800}
@@ -48,7 +48,7 @@ BEGINNINGS = range(3, 8)
 ROUNDS, RATE, RIDGE = 30, 0.8, 1e-4
 THRESHOLD = 0.7
 #: Words of a worker's memory of emission scores; it is emptied when full.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 def words_of(text: str) -> list[str]:
@@ -360,12 +360,13 @@ def score_column(spark: SparkSession, model: Field, text: str = "text") -> Colum
             for t in texts:
                 part.append(t or "")
                 size += len(part[-1])
-                if size > 8_000_000:
+                if size > 2_000_000:
                     out.append(own.score(part))
                     part, size = [], 0
             if part:
                 out.append(own.score(part))
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+        tidy()
 
     return score(F.col(text))
 
