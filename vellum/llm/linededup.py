@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut, free_name, table, text_or_empty
+from vellum.llm.common import cut, free_name, table, text_or_empty, tidy
 
 MIN_WORDS = 50
 GRAM_WORDS = 15
@@ -150,6 +150,10 @@ def _distinct(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndar
     return owner[heads], value[heads], np.diff(np.append(heads, len(owner)))
 
 
+def _word_kind(least: int) -> np.dtype:
+    return np.dtype("u1") if least < 256 else np.dtype("<u4")
+
+
 def _hash_lines(least: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,14 +169,17 @@ def _hash_lines(least: int, gram: int):
             owner, chosen = np.concatenate((owner, g_owner[twice][seen])), np.concatenate((chosen, g_value[twice][seen]))
             order = np.argsort(owner, kind="stable")
             ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32)
-            raw, raw_words = h.tobytes(), w.astype("<i4").tobytes()
+            # of a line's words only as many matter as a run needs
+            kind = _word_kind(least)
+            raw, raw_words, width = h.tobytes(), np.minimum(w, least).astype(kind).tobytes(), kind.itemsize
             bounds = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
             columns = [
                 batch.column(0), batch.column(1), pa.array([raw[8 * i : 8 * j] for i, j in bounds], pa.binary()),
-                pa.array([raw_words[4 * i : 4 * j] for i, j in bounds], pa.binary()),
+                pa.array([raw_words[width * i : width * j] for i, j in bounds], pa.binary()),
                 pa.ListArray.from_arrays(ends, pa.array(chosen[order].view(np.int64))),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "hashes", "words", "prints"])
+        tidy()
 
     return run
 
@@ -184,8 +191,9 @@ def _matched_windows(least: int, gram: int):
         for batch in batches:
             h = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
             words = batch.column(3).to_pylist()
-            w = np.frombuffer(b"".join(words), "<i4").astype(np.int64)
-            starts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in words]))).astype(np.int64)
+            kind = _word_kind(least)
+            w = np.frombuffer(b"".join(words), kind).astype(np.int64)
+            starts = np.concatenate(([0], np.cumsum([len(x) // kind.itemsize for x in words]))).astype(np.int64)
             runs = Runs(h, w, starts)
             a, b, whole, prints, _, _ = windows(runs, least, gram)
             repeated = batch.column(4)
@@ -203,6 +211,7 @@ def _matched_windows(least: int, gram: int):
             pick = pa.array(owner)
             columns = [batch.column(0).take(pick), batch.column(1).take(pick), pa.array((a - at).astype(np.int32)), pa.array((b - at).astype(np.int32)), pa.array(whole.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "a", "b", "h"])
+        tidy()
 
     return run
 
@@ -217,13 +226,13 @@ def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     text = text_or_empty(text_column)
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("t"))
     hashed = cut(own.mapInArrow(_hash_lines(least, gram), "id long, mark long, hashes binary, words binary, prints array<long>"))
-    prints = hashed.select("id", "mark", F.explode("prints").alias("print"))
+    # fingerprints go with a hash of their document; two documents that share one are looked at once more
+    owner = F.xxhash64("id", "mark")
+    prints = hashed.select(owner.alias("owner"), F.explode("prints").alias("print"))
     # cut, so that the join reads its sides as they are dealt and can split a hot fingerprint
     repeated = cut(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"))
-    chosen = prints.join(repeated, "print").groupBy("id", "mark").agg(F.collect_set("print").alias("repeated"))
-    chosen = chosen.select(F.col("id").alias("own_id"), F.col("mark").alias("own_mark"), "repeated")
-    same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))
-    picked = hashed.drop("prints").join(chosen, same).select("id", "mark", "hashes", "words", "repeated")
+    chosen = prints.join(repeated, "print").groupBy("owner").agg(F.collect_set("print").alias("repeated"))
+    picked = hashed.select(owner.alias("owner"), "id", "mark", "hashes", "words").join(chosen, "owner").select("id", "mark", "hashes", "words", "repeated")
     found = cut(picked.mapInArrow(_matched_windows(least, gram), "id long, mark long, a int, b int, h long"))
     first = cut(found.groupBy("h").agg(F.min(F.struct("id", "mark", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("a") == F.col("first.a"))
