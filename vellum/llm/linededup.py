@@ -36,6 +36,8 @@ from vellum.llm.common import cut, free_name, table, text_or_empty, tidy
 
 MIN_WORDS = 50
 GRAM_WORDS = 15
+#: Bytes of line ranges up to which they are sent to the texts; beyond, texts are dealt by document to meet them.
+SENT_BYTES = 16 << 20
 LINE_END = re.compile(r"\n|[.!?]+[ \t]+")
 #: Multiplier of the rolling hash over line hashes (odd).
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -264,7 +266,9 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     found = repeated_runs(docs, id_column, text_column, least, gram)
     id_, mark, runs, new = (free_name(docs, n) for n in ("run_id", "run_mark", "line_runs", "new_text"))
-    found = found.select(F.col("id").alias(id_), F.col("mark").alias(mark), F.col("runs").alias(runs))
+    found = cut(found.select(F.col("id").alias(id_), F.col("mark").alias(mark), F.col("runs").alias(runs)))
+    size = found.agg(F.sum(64 + 24 * F.size(runs))).first()[0] or 0
+    found = F.broadcast(found) if size <= SENT_BYTES else found
     keys = F.col(id_column).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(text_or_empty(text_column)) == F.col(mark))
     joined = docs.join(found, keys, "left")
     joined = joined.withColumn(new, F.pandas_udf(_delete, "string")(F.when(F.col(runs).isNotNull(), F.col(text_column)), F.col(runs)))
