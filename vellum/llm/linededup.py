@@ -18,6 +18,9 @@ came before, earlier in the same document or in a document of lower id.
 
 Nothing pairs all occurrences: a hash is first summed to its first place (a partial aggregate, so a
 passage that half of the corpus repeats costs a row per task), then joined back.
+
+``dedup_lines`` deletes whole lines only.  ``dedup_passages``, which the query and the pipeline take,
+goes word by word, so that a passage may begin and end inside a line (``passages``).
 """
 
 from __future__ import annotations
@@ -264,14 +267,27 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     A text that is all repeats becomes empty; null texts stay null.  ``length_column``, where the
     frame has it, becomes the new number of characters of texts that changed.
     """
-    found = repeated_runs(docs, id_column, text_column, least, gram)
+    return _deleted(docs, repeated_runs(docs, id_column, text_column, least, gram), _delete, id_column, text_column, length_column)
+
+
+def dedup_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str | None = "n_chars", least: int = MIN_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
+    """As ``dedup_lines``, for repeats that begin and end at any word instead of at lines."""
+    from vellum.llm import passages
+
+    def delete(texts: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or r is None else passages.without_words(t, r) for t, r in zip(texts, runs, strict=True)], dtype=object)
+
+    return _deleted(docs, passages.repeated_passages(docs, id_column, text_column, least, gram), delete, id_column, text_column, length_column)
+
+
+def _deleted(docs: DataFrame, found: DataFrame, delete, id_column: str, text_column: str, length_column: str | None) -> DataFrame:
     id_, mark, runs, new = (free_name(docs, n) for n in ("run_id", "run_mark", "line_runs", "new_text"))
     found = cut(found.select(F.col("id").alias(id_), F.col("mark").alias(mark), F.col("runs").alias(runs)))
     size = found.agg(F.sum(64 + 24 * F.size(runs))).first()[0] or 0
     found = F.broadcast(found) if size <= SENT_BYTES else found
     keys = F.col(id_column).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(text_or_empty(text_column)) == F.col(mark))
     joined = docs.join(found, keys, "left")
-    joined = joined.withColumn(new, F.pandas_udf(_delete, "string")(F.when(F.col(runs).isNotNull(), F.col(text_column)), F.col(runs)))
+    joined = joined.withColumn(new, F.pandas_udf(delete, "string")(F.when(F.col(runs).isNotNull(), F.col(text_column)), F.col(runs)))
     columns = []
     for c in docs.columns:
         if c == text_column:
@@ -284,6 +300,6 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without their later repeated runs of lines."""
+    """All documents without their later repeated passages."""
     docs = table(spark, sf_dir, "documents")
-    return dedup_lines(docs.withColumn("old_chars", F.length("text")))
+    return dedup_passages(docs.withColumn("old_chars", F.length("text")))
