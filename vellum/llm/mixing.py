@@ -211,10 +211,11 @@ def sizes_of(docs: DataFrame, key: str, source_column: str = "source", text_colu
 def mixed_documents(docs: DataFrame, source_column: str = "source", text_column: str = "text") -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken.
 
-    Rows that are alike in all columns are interchangeable, so their copies are added up.
+    Rows that are alike in all columns are interchangeable, so their copies are added up.  The hash
+    passes over nulls, so it takes besides which columns are null.
     """
     key, copies = free_name(docs, "row_key"), free_name(docs, "row_copies")
-    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
+    keyed = docs.withColumn(key, F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
     taken = mix(sizes_of(keyed, key, source_column, text_column)).groupBy("key").agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
     once = keyed.dropDuplicates([key])
     joined = once.join(taken.withColumnRenamed("key", key), key)
