@@ -12,8 +12,9 @@ fitted by gradient ascent on the conditional likelihood.  Forward-backward margi
 token's probability, spans are runs of tokens over one half, and a document's score is a logistic
 function of the two highest marginals, of the expected number of toxic tokens and of their density.
 
-Fitting takes a bounded sample of labelled documents to the driver (``SAMPLE`` of each label); the
-model that goes to the workers holds ``MODEL_WORDS`` words at most.  Scoring covers whole texts.
+Fitting takes a bounded sample of labelled documents to the driver (``SAMPLE`` of each label): all of
+it finds the forms and calibrates the score, the field is fitted to the first ``FIT`` of each label in
+the order of a hash of the id.  The model that goes to the workers holds ``MODEL_WORDS`` words at most.  Scoring covers whole texts.
 """
 
 from __future__ import annotations
@@ -320,7 +321,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 def training_rows(docs: DataFrame, labels: DataFrame, sample: dict = SAMPLE) -> list[tuple[str, int]]:
     """Labelled texts outside the held-out fold, at most ``sample`` of each label, picked by a hash of doc_id.
 
-    Rows with a null id, text or label are not used; of repeated labels the lowest counts.
+    They come in the order of that hash, so their beginning is a sample too.  Rows with a null id, text
+    or label are not used; of repeated labels the lowest counts.
     """
     own = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("y"))
     own = own.where(~held_out("doc_id"))
@@ -332,7 +334,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: dict = SAMPLE) ->
         part = short.select("doc_id").distinct().join(own.where(F.col("y") == y), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
     picked = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("t").alias("t"), F.min("y").alias("y"))
-    for r in sorted(picked.collect(), key=lambda r: r["doc_id"]):
+    for r in sorted(picked.withColumn("at", F.xxhash64("doc_id")).collect(), key=lambda r: (r["at"], r["doc_id"])):
         rows.append((r["t"], int(r["y"])))
     return rows
 
