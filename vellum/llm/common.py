@@ -17,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only where that is unset (tests in one process) is a folder made here.
+    Only where that is unset and all runs in one process (tests) is a folder made here; a cluster has to
+    name one.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="vellum-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -34,6 +37,13 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data, wherever Spark's file systems have it."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def free_name(frame: DataFrame, wanted: str) -> str:
     """``wanted``, or that with underscores if the frame has such a column (case is ignored)."""
     taken = {c.lower() for c in frame.columns}
