@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from vellum.llm.common import cut, free_name, table
 
@@ -211,11 +212,14 @@ def sizes_of(docs: DataFrame, key: str, source_column: str = "source", text_colu
 def mixed_documents(docs: DataFrame, source_column: str = "source", text_column: str = "text") -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken.
 
-    Rows that are alike in all columns are interchangeable, so their copies are added up.  The hash
-    passes over nulls, so it takes besides which columns are null.
+    Rows that are alike in all columns are interchangeable, so their copies are added up.  A row's key
+    is 128 bits of hash: of its values, in two orders, and of which of them are null (the hash passes
+    over those).  Maps are told apart by their entries in order.
     """
     key, copies = free_name(docs, "row_key"), free_name(docs, "row_copies")
-    keyed = docs.withColumn(key, F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+    plain = [F.array_sort(F.map_entries(c)) if isinstance(docs.schema[c].dataType, MapType) else F.col(c) for c in docs.columns]
+    nulls = [F.col(c).isNull() for c in docs.columns]
+    keyed = docs.withColumn(key, F.concat_ws(" ", F.xxhash64(*plain, *nulls), F.xxhash64(F.lit(SEED), *nulls, *reversed(plain))))
     taken = mix(sizes_of(keyed, key, source_column, text_column)).groupBy("key").agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
     once = keyed.dropDuplicates([key])
     joined = once.join(taken.withColumnRenamed("key", key), key)
