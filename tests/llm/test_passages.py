@@ -54,3 +54,17 @@ def test_the_query_finds_passages_set_mid_line(spark, tmp_path):
 
 def test_an_empty_table(spark):
     assert linededup.dedup_passages(spark.createDataFrame([], "doc_id long, text string, n_chars long")).count() == 0
+
+
+def test_windows_that_agree_in_one_hash_only_are_not_equal(spark, monkeypatch):
+    """With the first sum forced to one value, the second still tells windows apart."""
+    import numpy as np
+
+    ones = np.zeros(6, np.int64)
+    first, later = passages._before([np.arange(6)], ones, [np.zeros(6, np.uint64), np.array([1, 2, 3, 1, 2, 4], np.uint64)])
+    assert first.tolist() == [True, True, True, False, False, True] and later.tolist() == [False, False, False, True, True, False]
+    words = passages.Words(["a b c d e f g a b c d e f g"], 5, 3, wide=True)
+    for k in (0, 1):
+        h = words.hash(5, k)
+        assert (h[:3] == h[7:]).all() and len(set(h.tolist())) == 7
+    assert not set(words.hash(5, 0).tolist()) & set(words.hash(5, 1).tolist())

@@ -300,6 +300,9 @@ def _deleted(docs: DataFrame, found: DataFrame, delete, id_column: str, text_col
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without their later repeated passages."""
+    """All documents without their later repeated passages.
+
+    One row per row of the table; null texts stay null, repeated rows lose the same, and extra columns stay.
+    """
     docs = table(spark, sf_dir, "documents")
     return dedup_passages(docs.withColumn("old_chars", F.length("text")))

@@ -10,6 +10,9 @@ count, and a passage may begin and end inside a line.
    one batch only the first goes on to meet those of other batches, in the order of documents; all
    others came before.  So a passage that half of the corpus repeats costs a row per batch.
 3. The windows that came before add up to the words that go.
+
+Windows are equal if their fingerprint and 128 bits of hash agree: two sums of their words' hashes, the
+words of the second hashed on their own, modulo 2 ** 64 and with multipliers of their own.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ from vellum.llm.linededup import GRAM_WORDS, MIN_WORDS, MIX, UNMIX, _distinct, _
 AT_ONCE = 4 << 20
 WORD = re.compile(r"\S+")
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: The second sum's multiplier (odd), its inverse, and the bytes that a window's two hashes take.
+MIX_2 = np.uint64(0xD6E8FEB86659FD93)
+UNMIX_2 = np.uint64(pow(int(MIX_2), -1, 1 << 64))
+WIDE = 16
 
 
 def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -46,8 +53,8 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 class Words:
     """The words of many texts in a row, their grams and windows."""
 
-    def __init__(self, texts: list[str], least: int, gram: int) -> None:
-        hashed = [np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w)) for w in (t.split() for t in texts)]
+    def __init__(self, texts: list[str], least: int, gram: int, wide: bool = False) -> None:
+        hashed = [np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, t.split())), ">u8").reshape(-1, 2) for t in texts]
         sizes = np.array([len(x) for x in hashed], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(sizes)))
         self.n = int(self.starts[-1])
@@ -55,8 +62,8 @@ class Words:
         self.least, self.width = least, least - gram + 1
         if self.n < least:
             return
-        self.down = _powers(UNMIX, self.n)
-        self.sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_finish(np.concatenate(hashed)) * _powers(MIX, self.n)[: self.n], dtype=np.uint64)))
+        both = np.concatenate(hashed).astype(np.uint64)
+        self.sums = [self._summed(both[:, k], m, u) for k, m, u in ((1, MIX, UNMIX), (0, MIX_2, UNMIX_2))[: 1 + wide]]
         self.grams = self.hash(gram)
         self.prints = _sliding(self.grams, self.width, np.minimum)
         places = np.arange(self.n - least + 1)
@@ -66,9 +73,13 @@ class Words:
         #: Places of the grams that are the least of some window.
         self.chosen = np.flatnonzero(most == self.grams)
 
-    def hash(self, size: int) -> np.ndarray:
+    def _summed(self, hashes: np.ndarray, mix: np.uint64, unmix: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(_finish(hashes) * _powers(mix, self.n)[: self.n], dtype=np.uint64))), _powers(unmix, self.n)
+
+    def hash(self, size: int, which: int = 0) -> np.ndarray:
         """Of the ``size`` words from each on."""
-        return _finish((self.sum[size:] - self.sum[:-size]) * self.down[: self.n - size + 1] ^ np.uint64(size))
+        sums, down = self.sums[which]
+        return _finish((sums[size:] - sums[:-size]) * down[: self.n - size + 1] ^ np.uint64(size))
 
     def windows(self, repeated: np.ndarray) -> np.ndarray:
         """Places of the windows whose fingerprint is at one of the places ``repeated``."""
@@ -107,14 +118,17 @@ def _fingerprints(least: int, gram: int):
     return run
 
 
-def _before(place: list[np.ndarray], prints: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _before(place: list[np.ndarray], prints: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Of windows in the order of their places: which are the first of their kind, and which came before.
 
     A window whose place is the first one's is the same window again (a repeated row): it is neither.
     """
-    order = np.lexsort((hashes, prints))
-    p, h = prints[order], hashes[order]
-    head = np.concatenate((np.ones(min(1, len(p)), bool), (p[1:] != p[:-1]) | (h[1:] != h[:-1])))
+    order = np.lexsort((*hashes, prints))
+    p = prints[order]
+    other = p[1:] != p[:-1]
+    for h in (x[order] for x in hashes):
+        other |= h[1:] != h[:-1]
+    head = np.concatenate((np.ones(min(1, len(p)), bool), other))
     lead = order[np.flatnonzero(head)][np.cumsum(head) - 1]
     other = np.zeros(len(order), bool)
     for part in place:
@@ -149,7 +163,7 @@ def _windows(least: int, gram: int):
             ranks[order] = np.cumsum(np.concatenate(([False], (m[1:] != m[:-1]) | (k[1:] != k[:-1]) | (z[1:] != z[:-1]))))
             texts, listed = batch.column(2).to_pylist(), batch.column(3)
             for i, j in _portions(texts):
-                words = Words(texts[i:j], least, gram)
+                words = Words(texts[i:j], least, gram, wide=True)
                 if words.n < least:
                     continue
                 mine = listed.slice(i, j - i)
@@ -158,12 +172,12 @@ def _windows(least: int, gram: int):
                 at = words.chosen
                 at = at[np.isin(_finish(words.owner[at].astype(np.uint64)) ^ words.grams[at], wanted)]
                 a = words.windows(at)
-                owner, prints, hashes = words.owner[a], words.prints[a], words.hash(least)[a]
+                owner, prints, hashes = words.owner[a], words.prints[a], [words.hash(least, k)[a] for k in (0, 1)]
                 inside = a - words.starts[owner]
                 rank = ranks[i + owner]
                 by = np.lexsort((inside, rank))
                 first, later = np.zeros(len(a), bool), np.zeros(len(a), bool)
-                first[by], later[by] = _before([rank[by], inside[by]], prints[by], hashes[by])
+                first[by], later[by] = _before([rank[by], inside[by]], prints[by], [h[by] for h in hashes])
                 # windows that overlap are one range; those of different documents never do
                 went = a[later]
                 lo, hi = _heads(np.diff(went) >= least, len(went))
@@ -173,13 +187,13 @@ def _windows(least: int, gram: int):
                 yield pa.RecordBatch.from_arrays(
                     [none, ids.take(doc), batch.column(1).take(doc), pa.array(own[lo].astype(np.int32)), pa.array((own[hi] + least).astype(np.int32)), pa.nulls(len(lo), pa.binary())], names=FOUND
                 )
-                sent, p, h = a[first], prints[first], hashes[first]
+                sent, p = a[first], prints[first]
                 lo, hi = _heads((np.diff(sent) != 1) | (p[1:] != p[:-1]), len(sent))
-                doc, raw = pa.array(i + owner[first][lo]), h.tobytes()
+                doc, raw = pa.array(i + owner[first][lo]), np.stack([h[first] for h in hashes], axis=1).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(p[lo].view(np.int64)), ids.take(doc), batch.column(1).take(doc), pa.array(inside[first][lo].astype(np.int32)),
-                        pa.nulls(len(lo), pa.int32()), pa.array([raw[8 * x : 8 * y + 8] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()),
+                        pa.nulls(len(lo), pa.int32()), pa.array([raw[WIDE * x : WIDE * y + WIDE] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()),
                     ],
                     names=FOUND,
                 )
@@ -192,24 +206,24 @@ def _resolve(least: int):
     """Rows sorted by print, id, mark and place: the ranges that came before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["print", "null", "id", "mark", "at", "hash"]
-        held = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, np.uint64)]  # first windows of the print that may go on
+        names = ["print", "null", "id", "mark", "at", "hash", "other"]
+        held = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, np.uint64)] * 2  # first windows of the print that may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
             raw = batch.column(4).to_pylist()
-            sizes = np.array([len(x) // 8 for x in raw], dtype=np.int64)
+            sizes = np.array([len(x) // WIDE for x in raw], dtype=np.int64)
             row = np.repeat(np.arange(len(raw)), sizes)
             ids = batch.column(1)
             step = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             columns = [
                 batch.column(0).to_numpy(zero_copy_only=False)[row], ids.is_null().to_numpy(zero_copy_only=False)[row].astype(np.int64),
                 ids.fill_null(0).to_numpy(zero_copy_only=False)[row], batch.column(2).to_numpy(zero_copy_only=False)[row],
-                batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)[row] + step, np.frombuffer(b"".join(raw), np.uint64),
+                batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)[row] + step, *np.frombuffer(b"".join(raw), np.uint64).reshape(-1, 2).T,
             ]
             known = len(held[0])
             every = dict(zip(names, (np.concatenate(x) for x in zip(held, columns, strict=True)), strict=True))
-            first, later = _before([every[x] for x in ("null", "id", "mark", "at")], every["print"], every["hash"])
+            first, later = _before([every[x] for x in ("null", "id", "mark", "at")], every["print"], [every["hash"], every["other"]])
             keep = first & (every["print"] == every["print"][-1])
             held = [every[x][keep] for x in names]
             later = np.flatnonzero(later[known:])
