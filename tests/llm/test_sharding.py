@@ -65,3 +65,40 @@ def test_the_plan_holds_no_python(spark):
     docs = spark.range(100).select(F.col("id").alias("doc_id"), (F.col("id") % 7).alias("k"))
     plan = sharding.assign_shards(docs, ["k"], "doc_id")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_bins_against_exact_quantiles(spark):
+    """Common beginnings, outliers and heavy values: bins are as even as values allow, and in order."""
+    rng = random.Random(4)
+    rows = [(f"crawl_{2000 + int(rng.random() ** 2 * 400)}/part", 10.0**12 if i == 7 else rng.random(), "même début, puis " + chr(0x4E00 + rng.randint(0, 3000)), 5) for i in range(4000)]
+    rows += [(None, None, None, None), ("a", float("nan"), "", 5)]
+    docs = spark.createDataFrame(rows, "s string, x double, u string, one int")
+    names = ["s", "x", "u", "one"]
+    got = docs.select("*", *(b.alias(f"b{i}") for i, b in enumerate(sharding.quantise(docs, names)))).collect()
+    for i, n in enumerate(names):
+        own = sorted((r[n].encode() if isinstance(r[n], str) else r[n], r[f"b{i}"]) for r in got if r[n] is not None and r[n] == r[n])
+        assert [b for _, b in own] == sorted(b for _, b in own)
+        sizes = [sum(b == k for _, b in own) for k in range(16)]
+        if n == "one":
+            assert len(set(b for _, b in own)) == 1
+        else:
+            assert max(sizes) < 1.5 * len(own) / 16 and min(sizes) > 0.5 * len(own) / 16, (n, sizes)
+        assert all(r[f"b{i}"] == 0 for r in got if r[n] is None)
+
+
+def test_shard_and_slot_against_a_plain_sort(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 40)
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 400), rng.choice("ab") if i % 3 else "hot", rng.randint(0, 99), i) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n int, tie int")
+    got = sharding.assign_shards(docs, ["source", "n"], "doc_id", shards=7, order=[F.col("tie")]).collect()
+    axes = sharding.quantise(docs, ["source", "n"])
+    cells = docs.select("*", (axes[0] * 16 + axes[1]).alias("cell"), F.xxhash64("doc_id", "tie").alias("h")).collect()
+    curve = {r["tie"]: r["curve"] for r in got}
+    size = {c: sum(r["cell"] == c for r in cells) for c in {r["cell"] for r in cells}}
+    order = sorted(cells, key=lambda r: (curve[r["tie"]], r["h"] % -(-size[r["cell"]] // 40), r["doc_id"], r["tie"]))
+    want = {}
+    for k, r in enumerate(order):
+        shard = k * 7 // len(rows)
+        want[r["tie"]] = (shard, k - -(-shard * len(rows) // 7))
+    assert {r["tie"]: (r["shard"], r["slot"]) for r in got} == want

@@ -5,14 +5,19 @@ rows; a row's cell has an index on the Hilbert curve through the bins.  Rows sor
 and cut into runs give files with narrow ranges in all of the columns at once, which readers prune
 by their minima and maxima.
 
-No global sort is needed: rows are counted per cell (and per one of ``SPLIT`` parts of it by a hash
-of the key, so that a cell with a third of all rows is dealt over as many groups), the counts of at
-most ``2 ** (BITS * columns)`` cells are added up along the curve, and a row's place is its group's
-start plus its rank in the group.
+The bins are cut by counting all rows: each column's range is parted into steps, and steps that hold
+too many rows into steps again, so that neither a common beginning of texts nor an outlier puts all
+rows into one bin.
+
+No global sort is needed: rows are counted per cell, and per part of it by a hash of the row (as many
+parts as make ``PART_ROWS`` rows each, so that a cell with a third of all rows is dealt over many
+tasks); the counts of at most ``2 ** (BITS * columns)`` cells are added up along the curve, and a row's
+place is its group's start plus its rank in the group.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,49 +27,101 @@ from pyspark.sql.types import NumericType
 from vellum.llm.common import cut, free_name, table
 
 BITS = 4
-SPLIT = 64
-#: Equal steps between a column's least and largest value, of which the bins are made up.
-STEPS = 4096
+#: Rows of a part of a cell, about.
+PART_ROWS = 500_000
+#: Steps that a column's segments are parted into in one round, and the rounds at most.
+STEPS, ROUNDS = 4096, 8
+#: Bytes of text that a step tells apart.
+STEP_BYTES = 6
 SHARDS = 8
 
 
-def _as_number(frame: DataFrame, column: str) -> Column:
-    """A number in the column's order: numbers themselves, of text its first six bytes.  Null is null."""
+@dataclass
+class _Segment:
+    """Values from ``low`` to ``high`` of a column, both of which occur, and the rows that have them."""
+
+    low: object
+    high: object
+    rows: int
+
+
+def _value(frame: DataFrame, column: str) -> Column:
+    """The column as a double or as text, which are ordered as it is; null and NaN are null."""
     if isinstance(frame.schema[column].dataType, NumericType):
-        return F.when(~F.isnan(F.col(column).cast("double")), F.col(column).cast("double"))
-    head = F.rpad(F.substring(F.hex(F.encode(F.col(column).cast("string"), "UTF-8")), 1, 12), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+        number = F.col(column).cast("double")
+        return F.when(~F.isnan(number), number)
+    return F.col(column).cast("string")
+
+
+def _shared_bytes(low: str, high: str) -> int:
+    a, b = low.encode(), high.encode()
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def _step(value: Column, segment: _Segment, steps: int) -> Column:
+    """Which of ``steps`` steps from the segment's low to its high a value is in."""
+    if isinstance(segment.low, float):
+        width = (segment.high / steps) - (segment.low / steps)
+        return F.least(F.floor((value - F.lit(segment.low)) / F.lit(width)).cast("int"), F.lit(steps - 1)) if width > 0 else F.lit(0)
+    # the bytes behind those that all texts of the segment begin with, as a number
+    same = _shared_bytes(segment.low, segment.high)
+    number = lambda raw: int.from_bytes(raw[same : same + STEP_BYTES].ljust(STEP_BYTES, b"\0"), "big")
+    low, high = number(segment.low.encode()), number(segment.high.encode())
+    digits = F.substring(F.hex(F.encode(value, "UTF-8")), 2 * same + 1, 2 * STEP_BYTES)
+    at = F.conv(F.rpad(digits, 2 * STEP_BYTES, "0"), 16, 10).cast("double") - F.lit(float(low))
+    return F.least(F.floor(at / F.lit(max(1.0, (high - low) / steps))).cast("int"), F.lit(steps - 1))
+
+
+def _segments(frame: DataFrame, columns: list[str], most: float) -> dict[str, list[_Segment]]:
+    """Of each column, segments in order that hold all its values, of at most about ``most`` of the rows unless of one value.
+
+    What comes to the driver in a round is ``STEPS`` counts of a column at most.
+    """
+    values = {c: _value(frame, c) for c in columns}
+    ends = frame.select(*(f(values[c]).alias(f"{n}{i}") for i, c in enumerate(columns) for f, n in ((F.min, "lo"), (F.max, "hi"), (F.count, "n")))).first()
+    found = {c: [_Segment(ends[f"lo{i}"], ends[f"hi{i}"], ends[f"n{i}"])] if ends[f"n{i}"] else [] for i, c in enumerate(columns)}
+    total = {c: sum(s.rows for s in found[c]) for c in columns}
+    for _ in range(ROUNDS):
+        heavy = {i: [(k, s) for k, s in enumerate(found[c]) if s.low != s.high and s.rows > most * total[c]] for i, c in enumerate(columns)}
+        if not any(heavy.values()):
+            break
+        items = []
+        for i, parts in heavy.items():
+            value, steps = values[columns[i]], STEPS // max(1, len(parts))
+            at = None
+            for k, s in parts:
+                inside = value.between(F.lit(s.low), F.lit(s.high))
+                place = F.struct(F.lit(i).alias("c"), F.lit(k).alias("k"), _step(value, s, steps).alias("s"))
+                at = F.when(inside, place) if at is None else at.when(inside, place)
+            if at is not None:
+                items.append(F.struct(at.alias("at"), value.cast("string").alias("text"), (value if isinstance(parts[0][1].low, float) else F.lit(None)).cast("double").alias("number")))
+        counted = frame.select(F.explode(F.array(*items)).alias("x")).where("x.at IS NOT NULL").groupBy("x.at.c", "x.at.k", "x.at.s")
+        told = counted.agg(F.count("*").alias("n"), F.min("x.number").alias("lo"), F.max("x.number").alias("hi"), F.min("x.text").alias("lo_text"), F.max("x.text").alias("hi_text")).collect()
+        by: dict[tuple[int, int], list] = {}
+        for r in told:
+            by.setdefault((r["c"], r["k"]), []).append(r)
+        for i, c in enumerate(columns):
+            out = []
+            for k, s in enumerate(found[c]):
+                parts = sorted(by.get((i, k), []), key=lambda r: r["s"])
+                out += [_Segment(r["lo"], r["hi"], r["n"]) if isinstance(s.low, float) else _Segment(r["lo_text"], r["hi_text"], r["n"]) for r in parts] or [s]
+            found[c] = out
+    return found
 
 
 def quantise(frame: DataFrame, columns: list[str], bits: int = BITS) -> list[Column]:
     """A bin from 0 to ``2 ** bits - 1`` for each column, by bins of about equal numbers of rows.
 
-    What comes to the driver is the least and largest value of each column and ``STEPS`` counts.
-    Null and NaN are in bin 0.
+    A value is in one bin, so one that many rows have makes a bin larger.  Null and NaN are in bin 0.
     """
-    numbers = {c: _as_number(frame, c) for c in columns}
-    ends = frame.select(*(f(numbers[c]).alias(f"{n}{i}") for i, c in enumerate(columns) for f, n in ((F.min, "lo"), (F.max, "hi")))).first()
-    step: dict[str, Column | None] = {}
-    for i, c in enumerate(columns):
-        lo, hi = ends[f"lo{i}"], ends[f"hi{i}"]
-        step[c] = None if lo is None or not hi > lo else F.least(F.floor((numbers[c] - F.lit(lo)) / F.lit((hi - lo) / STEPS)).cast("int"), F.lit(STEPS - 1))
-    live = [c for c in columns if step[c] is not None]
-    counts: dict[str, list[int]] = {c: [0] * STEPS for c in live}
-    if live:
-        pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), step[c].alias("s")) for i, c in enumerate(live)))).alias("x")
-        for r in frame.select(pairs).where("x.s IS NOT NULL").groupBy("x.c", "x.s").agg(F.count("*").alias("n")).collect():
-            counts[live[r["c"]]][r["s"]] = r["n"]
     out = []
-    for c in columns:
-        if step[c] is None:
-            out.append(F.lit(0))
-            continue
-        total, before, cuts = sum(counts[c]), 0, []
-        for at, n in enumerate(counts[c]):
-            # the bin of a step is that of its middle row; a cut is the first step of a bin
-            cuts += [at] * (min((1 << bits) - 1, (2 * before + n) * (1 << bits) // (2 * total)) - len(cuts))
-            before += n
-        number = reduce(lambda x, y: x + y, ((step[c] >= at).cast("int") for at in cuts), F.lit(0))
+    for c, segments in _segments(frame, columns, 1 / (1 << bits) / 8).items():
+        total, before, cuts = sum(s.rows for s in segments), 0, []
+        for s in segments:
+            # the bin of a segment is that of its middle row; a cut is the first value of a bin
+            cuts += [s.low] * (min((1 << bits) - 1, (2 * before + s.rows) * (1 << bits) // (2 * total)) - len(cuts))
+            before += s.rows
+        number = reduce(lambda x, y: x + y, ((_value(frame, c) >= F.lit(at)).cast("int") for at in cuts), F.lit(0))
         out.append(F.coalesce(number, F.lit(0)))
     return out
 
@@ -104,14 +161,18 @@ def assign_shards(docs: DataFrame, columns: list[str], key: str, shards: int = S
     """``docs`` with ``curve`` (the cell's index), ``shard`` and ``slot`` (from 0 in each shard).
 
     Shards are runs of the curve with numbers of rows at most one apart.  Rows of one cell are in
-    the order of a hash of ``key``, then ``key``, then ``order``; rows that are alike in all these
-    are interchangeable.  Columns of these names in ``docs`` are replaced.  Nulls are in the first
+    the order of their part, a hash of ``key`` and ``order``, then of ``key`` and ``order``; rows that are
+    alike in all these are interchangeable.  Columns of these names in ``docs`` are replaced.  Nulls are in the first
     bins.  Empty tables give no rows.
     """
-    cell, part, place = (free_name(docs, n) for n in ("cell", "cell_part", "cell_place"))
+    cell, part, place, parts = (free_name(docs, n) for n in ("cell", "cell_part", "cell_place", "cell_parts"))
     axes = quantise(docs, columns, bits)
     packed = reduce(lambda s, a: s * (1 << bits) + a, axes, F.lit(0)).cast("int")
-    dealt = docs.drop("curve", "shard", "slot").withColumns({cell: packed, part: F.pmod(F.xxhash64(F.col(key)), F.lit(SPLIT)).cast("int")})
+    celled = docs.drop("curve", "shard", "slot").withColumn(cell, packed)
+    # at most 2 ** (bits * columns) rows, of the cells that need more parts than one
+    split = cut(celled.groupBy(F.col(cell).alias("split_cell")).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias(parts)).where(F.col(parts) > 1))
+    dealt = celled.join(F.broadcast(split), F.col(cell) == F.col("split_cell"), "left").drop("split_cell")
+    dealt = dealt.withColumn(part, F.pmod(F.xxhash64(F.col(key), *(order or [])), F.coalesce(F.col(parts), F.lit(1))).cast("int")).drop(parts)
     counts = cut(dealt.groupBy(cell, part).agg(F.count("*").alias("n")))
     names = [f"axis{i}" for i in range(len(columns))]
     # at most 2 ** (bits * columns) rows from here to ``starts``
@@ -140,7 +201,10 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document."""
+    """The shard and slot of every document.
+
+    One row per row of the table, repeated rows and null ids included; a null text has size one.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", "lang", "n_chars",
