@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import free_name, table, tidy
+from vellum.llm.common import cut, free_name, table, tidy
 
 #: Labelled documents of each label that fitting may take to the driver.
 SAMPLE = {1: 900, 0: 1800}
@@ -57,7 +57,7 @@ def words_of(text: str) -> list[str]:
 
 
 def features(word: str) -> list[str]:
-    """What a token shows: the word, beginnings of three to five letters, an ending of three."""
+    """What a token shows: the word, beginnings of three to seven letters (``BEGINNINGS``), an ending of three."""
     if not word:
         return ["empty"]
     out = ["w=" + word]
@@ -132,14 +132,16 @@ class Field:
         """The probability of each token (word between white space) of each text."""
         return self.marginals([self.word_scores(t.lower().split()) for t in texts])
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        x = summary(self.tag(texts))
+    def score(self, texts: list[str], tagged: list[np.ndarray] | None = None) -> np.ndarray:
+        x = summary(self.tag(texts) if tagged is None else tagged)
         return 1 / (1 + np.exp(-np.clip(x @ self.calibration[1:] + self.calibration[0], -500, 500)))
 
-    def spans(self, text: str) -> list[tuple[int, int, float]]:
-        """Offsets of toxic spans in the text and the highest marginal in each."""
+    def spans(self, text: str, p: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+        """Offsets of toxic spans in the text and the highest marginal in each; ``p`` has the text's marginals, if known."""
+        p = self.tag([text])[0] if p is None else p
+        if not (p > 0.5).any():
+            return []
         found = [m.span() for m in re.finditer(r"\S+", text)]
-        p = self.marginals([self.word_scores([text[a:b].lower() for a, b in found])])[0]
         out: list[tuple[int, int, float]] = []
         for i in np.flatnonzero(p > 0.5).tolist():
             if i and p[i - 1] > 0.5 and out:
@@ -329,9 +331,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: dict = SAMPLE) ->
     short = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("t")).where(F.length("t").between(1, SAMPLE_CHARS))
     rows: list[tuple[str, int]] = []
     # the ids are chosen first, on narrow rows; their texts then come by a join with a list of bounded size
+    there = cut(short.select("doc_id").join(own, "doc_id").distinct())
     chosen = None
     for y, n in sample.items():
-        part = short.select("doc_id").distinct().join(own.where(F.col("y") == y), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        part = there.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
     picked = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("t").alias("t"), F.min("y").alias("y"))
     for r in sorted(picked.withColumn("at", F.xxhash64("doc_id")).collect(), key=lambda r: (r["at"], r["doc_id"])):
@@ -348,6 +351,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     return train([t for t, _ in rows], [y for _, y in rows])
 
 
+def _portions(texts: pd.Series, most: int = 2_000_000) -> Iterator[list[str]]:
+    part: list[str] = []
+    size = 0
+    for t in texts:
+        part.append(t or "")
+        size += len(part[-1])
+        if size > most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def score_column(spark: SparkSession, model: Field, text: str = "text") -> Column:
     """The score of each whole text; null texts score as empty ones."""
     shipped = spark.sparkContext.broadcast(model)
@@ -356,45 +372,54 @@ def score_column(spark: SparkSession, model: Field, text: str = "text") -> Colum
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shipped.value
         for texts in batches:
-            out = []
-            part: list[str] = []
-            size = 0
-            for t in texts:
-                part.append(t or "")
-                size += len(part[-1])
-                if size > 2_000_000:
-                    out.append(own.score(part))
-                    part, size = [], 0
-            if part:
-                out.append(own.score(part))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            yield pd.Series(np.concatenate([np.zeros(0), *(own.score(part) for part in _portions(texts))]))
         tidy()
 
     return score(F.col(text))
 
 
-def spans_column(spark: SparkSession, model: Field, text: str = "text") -> Column:
-    """Toxic spans of each text: array of struct(start, stop, p), in characters."""
+SPANS = "array<struct<start: int, stop: int, p: double>>"
+
+
+def tagged_column(spark: SparkSession, model: Field, text: str = "text") -> Column:
+    """The score of each whole text and its toxic spans, in characters: struct(score, spans).
+
+    Both come from one tagging of the text.  Null texts are as empty ones, and have no spans.
+    """
     shipped = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<struct<start:int,stop:int,p:double>>")
-    def spans(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf(f"struct<score: double, spans: {SPANS}>")
+    def tagged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shipped.value
-        return pd.Series([[{"start": a, "stop": b, "p": p} for a, b, p in own.spans(t or "")] for t in texts])
+        for texts in batches:
+            scores, spans = [np.zeros(0)], []
+            for part in _portions(texts):
+                found = own.tag(part)
+                scores.append(own.score(part, found))
+                spans += [[{"start": a, "stop": b, "p": p} for a, b, p in own.spans(t, marginal)] for t, marginal in zip(part, found, strict=True)]
+            yield pd.DataFrame({"score": np.concatenate(scores), "spans": pd.Series(spans, dtype=object)})
+        tidy()
 
-    return spans(F.col(text))
+    return tagged(F.col(text))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``."""
+    """The rows of ``docs`` that score below ``threshold``, as they are.
+
+    Repeated rows and rows of one id are scored each on its own text; null ids are scored like others;
+    null and empty texts score as empty ones, near zero.  Without labels nothing scores high.
+    """
     model = fit(docs, labels)
     score = free_name(docs, "toxicity")
     return docs.withColumn(score, score_column(docs.sparkSession, model)).where(F.col(score) < threshold).drop(score)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The toxicity score of every document."""
+    """The toxicity score of every document, and the offsets of the spans that make it up.
+
+    One row per row of the table; null ids are in no fold.  ``spans`` lists (start, stop, p) in characters.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels)
-    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), score_column(spark, model).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), tagged_column(spark, model).alias("t"))
+    return scored.select("doc_id", "held_out", "t.score", (F.col("t.score") >= THRESHOLD).cast("int").alias("predicted"), "t.spans")
