@@ -89,7 +89,7 @@ def test_grid_notes_links_and_lint(parts):
     grid = {(r["row"], r["gcol"]): r["text"] for r in documents.grid_rows(documents.cells(parts)).collect()}
     assert grid[(2, 0)] == grid[(2, 1)] == "Source: authors" and grid[(1, 1)] == "0.31"
     assert [r["id"] for r in documents.orphan_notes(parts).collect()] == ["2"]
-    assert [(r["anchor"], r["label"]) for r in documents.dead_links(parts).collect()] == [("gone", "link")]
+    assert [(r["anchor"], r["label"]) for r in documents.dangling_links(parts).collect()] == [("gone", "link")]
     assert documents.lint(parts).count() == 0
     bad = B.document("<w:p><w:r><w:t> edge</w:t></w:r><w:pPr/></w:p>", "<w:del w:id='4'><w:p/></w:del>", "<w:ins w:id='4'/>", "<w:p><w:del w:id='5'>" + B.run("x") + "</w:del></w:p>")
     codes = {f["code"] for f in wordml.lint(wordml.parse(bad)[0])}

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 #: A sign, digits with commas and spaces as they come, and a decimal point with digits.
 _NUMBER = "^[-−+]?\\d[\\d,  ]*(?:\\.\\d+)?"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def leading_number(text: Column) -> Column:
     """The number a cell starts with, as printed; empty if none.  A comma before a space ends it."""
     shown = F.regexp_extract(F.trim(text), _NUMBER, 0)
-    return F.regexp_replace(F.regexp_replace(shown, ",[  ].*$", ""), "[,  ]+$", "")
+    return let(shown, lambda s: F.when(s.rlike("[,  ]"), F.regexp_replace(F.regexp_replace(s, ",[  ].*$", ""), "[,  ]+$", "")).otherwise(s))
 
 
 def comma_role(shown: Column) -> Column:
@@ -34,22 +41,31 @@ def parse_number(text: Column, decimal: Column | None = None) -> Column:
     ``decimal`` is the mark the table uses; it settles numbers that can be read either way, which
     are thousands without it.
     """
-    shown = leading_number(text)
-    role = comma_role(shown)
     mark = F.lit(None).cast("string") if decimal is None else decimal
-    is_decimal = (role == "decimal") | ((role == "ambiguous") & mark.eqNullSafe(F.lit(",")))
-    raw = F.translate(shown, "−  ", "-")
-    raw = F.when(F.coalesce(is_decimal, F.lit(False)), F.replace(raw, F.lit(","), F.lit("."))).otherwise(F.replace(raw, F.lit(",")))
-    return F.when(shown != "", raw.try_cast("double"))
 
+    def value(shown: Column) -> Column:
+        is_decimal = let(comma_role(shown), lambda role: (role == "decimal") | ((role == "ambiguous") & mark.eqNullSafe(F.lit(","))))
+        plain = F.translate(shown, "−  ", "-")
+        raw = F.when(~F.contains(shown, F.lit(",")), plain).when(is_decimal, F.replace(plain, F.lit(","), F.lit("."))).otherwise(F.replace(plain, F.lit(",")))
+        return F.when(shown != "", raw.try_cast("double"))
 
-def decimal_mark(text: Column) -> Column:
-    """An aggregate: the mark that most of the cells show, null on a tie."""
-    shown = leading_number(text)
-    role = comma_role(shown)
-    comma = F.count_if(role == "decimal")
-    point = F.count_if((role == "thousands") | (role.isNull() & shown.contains(".")))
-    return F.when(comma > point, ",").when(point > comma, ".")
+    return let(leading_number(text), value)
+
+
+def mark_vote(text: Column) -> Column:
+    """1 if a cell shows a decimal comma, -1 if it shows a point or a comma of thousands, else 0."""
+
+    def vote(shown: Column) -> Column:
+        return F.when(~shown.rlike("[,.]"), 0).otherwise(let(comma_role(shown), lambda role: F.when(role == "decimal", 1).when((role == "thousands") | (role.isNull() & shown.contains(".")), -1).otherwise(0)))
+
+    return let(leading_number(text), vote)
+
+
+def decimal_mark(text: Column, over: WindowSpec | None = None) -> Column:
+    """The mark that most of the cells show, null on a tie: an aggregate, or a window function."""
+    votes = F.sum(mark_vote(text))
+    votes = votes if over is None else votes.over(over)
+    return F.when(votes > 0, ",").when(votes < 0, ".")
 
 
 def decimals(text: Column) -> Column:

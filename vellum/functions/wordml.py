@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 # Namespaces of the format.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -28,11 +28,23 @@ REVISION = re.compile(rb"<w:(ins|del|moveFrom|moveTo|cellIns|cellDel|cellMerge|\
 RANGES = tuple(f"move{side}Range{end}" for side in ("From", "To") for end in ("Start", "End"))
 
 
+#: Levels of nesting beyond which a part isn't a document that a word processor writes.
+DEEPEST = 400
+
+
 def parse(blob: bytes) -> tuple[ET.Element | None, str | None]:
+    """The tree, or why there is none: markup that doesn't parse, or is nested beyond all reason."""
     try:
-        return ET.fromstring(blob), None
+        root = ET.fromstring(blob)
     except ET.ParseError as e:
         return None, str(e)
+    level, depth = [root], 0
+    while level:
+        depth += 1
+        if depth > DEEPEST:
+            return None, f"nested deeper than {DEEPEST}"
+        level = [c for e in level for c in e]
+    return root, None
 
 
 def serialise(root: ET.Element) -> bytes:
@@ -41,65 +53,108 @@ def serialise(root: ET.Element) -> bytes:
     return b'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + ET.tostring(root, encoding="utf-8")
 
 
-def _mark(paragraph: ET.Element, names: tuple[str, ...]) -> bool:
-    """Whether a paragraph's own end mark carries one of these revisions."""
-    marks = paragraph.find(f"{W}pPr/{W}rPr")
-    return marks is not None and any(marks.find(W + n) is not None for n in names)
+#: Whether a revision, by its element, is one to accept or reject.
+Where = Callable[[ET.Element], bool]
+
+
+def by_author(*names: str) -> Where:
+    return lambda e: e.get(W + "author") in names
+
 
+def whitespace_only(e: ET.Element) -> bool:
+    """An insertion or deletion of nothing but white space; a paragraph's mark is none."""
+    shown = text_of(e, deleted=True)
+    return e.tag in (W + "ins", W + "del") and shown != "" and not shown.strip()
 
-def in_view(root: ET.Element, view: str) -> ET.Element:
+
+def _marked(holder: ET.Element | None, names: tuple[str, ...], where: Where | None) -> ET.Element | None:
+    """The revision of one of these names that properties carry, if it is wanted."""
+    found = next((c for c in holder if isinstance(c.tag, str) and c.tag.removeprefix(W) in names), None) if holder is not None else None
+    return found if found is not None and (where is None or where(found)) else None
+
+
+def in_view(root: ET.Element, view: str, where: Where | None = None) -> ET.Element:
     """The tree with its revisions accepted (``final``) or rejected (``original``), changed in place.
 
     Content goes first, then rows, then paragraph marks (a paragraph whose mark goes runs on into
-    the next one), then property snapshots, then cells.
+    the next one), then property snapshots, then cells.  With ``where`` only the revisions that it
+    wants are; the others stay pending, and so do moves, whose two ends belong together.
     """
     keeps, drops = KEEPS[view], DROPS[view]
-
-    def content(parent: ET.Element) -> None:
+    if where is not None:
+        keeps, drops = keeps[:1], drops[:1]
+    stack = [root]
+    while stack:
+        parent = stack.pop()
         at = 0
         while at < len(parent):
             child = parent[at]
             name = child.tag.removeprefix(W) if isinstance(child.tag, str) and child.tag.startswith(W) else ""
-            inside_marks = parent.tag in (W + "rPr", W + "trPr")
-            if name in drops and not inside_marks or name in RANGES:
+            wanted = parent.tag not in (W + "rPr", W + "trPr") and (where is None or name in RANGES or (name in keeps or name in drops) and where(child))
+            if wanted and (name in drops or name in RANGES and where is None):
                 del parent[at]
-            elif name in keeps and not inside_marks:
-                inner = list(child)
-                parent[at : at + 1] = inner
+            elif wanted and name in keeps:
+                parent[at : at + 1] = list(child)
+                if view == "original":
+                    _restore_deleted(parent[at : at + len(child)])
             else:
-                content(child)
+                stack.append(child)
                 at += 1
-
-    content(root)
-    if view == "original":
-        for t in root.iter(W + "delText"):
-            t.tag = W + "t"
-        for t in root.iter(W + "delInstrText"):
-            t.tag = W + "instrText"
-    row_gone, cell_gone = ("del", "cellDel") if view == "final" else ("ins", "cellIns")
+    if view == "original" and where is None:
+        _restore_deleted([root])
+    row_gone = ("del", "moveFrom") if view == "final" else ("ins", "moveTo")
+    cell_gone = ("cellDel",) if view == "final" else ("cellIns",)
+    if where is not None:
+        row_gone = row_gone[:1]
     for table in list(root.iter(W + "tbl")):
         for row in list(table):
-            if row.tag == W + "tr" and row.find(f"{W}trPr/{W}{row_gone}") is not None:
+            if row.tag == W + "tr" and _marked(row.find(W + "trPr"), row_gone, where) is not None:
                 table.remove(row)
-    _merge_paragraphs(root, drops)
-    _snapshots(root, view)
+    _merge_paragraphs(root, drops, where)
+    _snapshots(root, view, where)
     for row in root.iter(W + "tr"):
         for cell in list(row):
-            if cell.tag == W + "tc" and cell.find(f"{W}tcPr/{W}{cell_gone}") is not None:
+            if cell.tag == W + "tc" and _marked(cell.find(W + "tcPr"), cell_gone, where) is not None:
                 row.remove(cell)
+    marks = {W + n for n in ("ins", "del", "moveFrom", "moveTo", "cellIns", "cellDel")}
     for parent in list(root.iter()):
-        for child in list(parent):
-            if child.tag in (W + "ins", W + "del", W + "moveFrom", W + "moveTo", W + "cellIns", W + "cellDel") and parent.tag in (W + "rPr", W + "trPr", W + "tcPr"):
-                parent.remove(child)
+        if parent.tag in (W + "rPr", W + "trPr", W + "tcPr"):
+            for child in list(parent):
+                if child.tag in marks and (where is None or where(child) and child.tag not in (W + "moveFrom", W + "moveTo")):
+                    parent.remove(child)
     return root
 
 
-def _merge_paragraphs(root: ET.Element, gone: tuple[str, ...]) -> None:
+def _restore_deleted(elements: list[ET.Element]) -> None:
+    """Deleted text is text again."""
+    for e in elements:
+        for t in e.iter(W + "delText"):
+            t.tag = W + "t"
+        for t in e.iter(W + "delInstrText"):
+            t.tag = W + "instrText"
+
+
+def rows_in_view(table: ET.Element, view: str) -> list[bool]:
+    """Of each of a table's own rows whether a side of the changes has it."""
+    gone = ("del", "moveFrom") if view == "final" else ("ins", "moveTo")
+    out: list[bool] = []
+    stack = [table]
+    while stack:
+        parent = stack.pop()
+        for child in parent:
+            if child.tag == W + "tr":
+                out.append(_marked(child.find(W + "trPr"), gone, None) is None)
+            elif child.tag in (W + "sdt", W + "sdtContent"):
+                stack.append(child)
+    return out
+
+
+def _merge_paragraphs(root: ET.Element, gone: tuple[str, ...], where: Where | None) -> None:
     for parent in list(root.iter()):
         at = 0
         while at < len(parent):
             p = parent[at]
-            if p.tag == W + "p" and _mark(p, gone):
+            if p.tag == W + "p" and _marked(p.find(f"{W}pPr/{W}rPr"), gone, where) is not None:
                 nxt = parent[at + 1] if at + 1 < len(parent) else None
                 if nxt is not None and nxt.tag == W + "p":
                     own = [c for c in p if c.tag != W + "pPr"]
@@ -113,11 +168,11 @@ def _merge_paragraphs(root: ET.Element, gone: tuple[str, ...]) -> None:
             at += 1
 
 
-def _snapshots(root: ET.Element, view: str) -> None:
+def _snapshots(root: ET.Element, view: str, where: Where | None) -> None:
     for holder in list(root.iter()):
         for child in list(holder):
             name = child.tag.removeprefix(W) if isinstance(child.tag, str) else ""
-            if name not in SNAPSHOTS:
+            if name not in SNAPSHOTS or where is not None and not where(child):
                 continue
             if view == "original" and len(child) and child[0].tag == holder.tag:
                 before = child[0]

@@ -52,14 +52,24 @@ def verdict(rows: DataFrame, truth: str, proposal: str, now: str) -> DataFrame:
 def containment(docs: DataFrame, id_: str, text: str, passages: DataFrame, item: str, passage: str, limit: int = PASSAGE_BYTES) -> DataFrame:
     """``(id, item)`` of each document that holds a passage whole.
 
-    Passages are broadcast in parts of at most ``limit`` bytes, so a long list costs more scans of
-    the documents and no task more memory.
+    A passage's longest word between spaces that are its own is a word of every document that holds it,
+    so words and passages meet in an equi-join, and only what meets is searched.  Passages without such a
+    word (fewer than three) are searched for in all documents; they are sent out in parts of at most
+    ``limit`` bytes.
     """
-    size = passages.agg(F.sum(F.octet_length(passage))).first()[0] or 0
-    parts = -(-size // limit) or 1
-    found = []
+    words = F.split(F.col(passage), " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    sign = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    named = passages.select(F.col(item).alias("_item"), F.col(passage).alias("_passage"), sign.alias("_sign"))
+    # a word between two spaces of a passage is one between two spaces of the text that holds it
+    bare = docs.select(id_, F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("_sign"))
+    signs = named.where("_sign <> ''").select("_sign").distinct()
+    met = bare.join(signs, "_sign").join(named, "_sign").select(F.col(id_).alias("_id"), "_item", "_passage")
+    found = [docs.select(id_, text).join(met, F.col(id_).eqNullSafe(F.col("_id"))).where(F.expr(f"contains({text}, _passage)")).select(id_, F.col("_item").alias(item))]
+    short = named.where("_sign IS NULL OR _sign = ''")
+    size = short.agg(F.sum(F.octet_length("_passage") + 1)).first()[0] or 0
+    parts = -(-size // limit)
     for k in range(parts):
-        part = passages.where(F.pmod(F.xxhash64(item, passage), F.lit(parts)) == k).select(F.col(item).alias("_item"), F.col(passage).alias("_passage"))
-        joined = docs.select(id_, text).join(F.broadcast(part), F.expr(f"contains({text}, _passage)"))
-        found.append(joined.select(id_, F.col("_item").alias(item)))
+        part = short.where(F.pmod(F.xxhash64("_item", "_passage"), F.lit(parts)) == k)
+        found.append(docs.select(id_, text).join(F.broadcast(part), F.expr(f"contains({text}, _passage)")).select(id_, F.col("_item").alias(item)))
     return reduce(DataFrame.unionByName, found)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from vellum.functions import wordml
+from vellum.functions import markup, wordml
 from vellum.functions.text import words
 
 DOCUMENT = "word/document.xml"
@@ -28,29 +30,60 @@ REFERENCES = r"(?iu)^(References|Bibliography|Works Cited|Список лите
 APPENDIX = r"(?iu)^(Online\s+)?Appendi(x|ces)\b|^Annex(es)?\b|^Приложени[ея]\b"
 
 
-def rows_of(parts: DataFrame, read: Callable, schema: str, view: str | None = None, part: str = DOCUMENT) -> DataFrame:
+#: Rows of many documents that go back to the JVM at once.
+AT_ONCE = 20_000
+
+
+def rows_of(parts: DataFrame, read: Callable, schema: str, view: str | None = None, part: str = DOCUMENT, where: wordml.Where | None = None) -> DataFrame:
     """``(doc, ...)`` rows that ``read(tree)`` gives for each document's part, in one side of its changes.
 
-    Parts are filtered before Python sees them.  A part that doesn't parse gives no rows here; see
-    :func:`malformed`.
+    ``view`` is ``final``, ``original`` or ``both``, which gives the rows of each with a column ``view``
+    from one parse.  Parts are filtered before Python sees them.  A part that doesn't parse gives no
+    rows here; see :func:`malformed`.
     """
-    full = _parse_datatype_string(f"doc string, {schema}")
+    full = _parse_datatype_string(f"doc string, {'view string, ' * (view == 'both')}{schema}")
     assert isinstance(full, StructType)
     arrow = to_arrow_schema(full)
+    names = [f.name for f in full.fields if f.name != "doc" and (f.name != "view" or view != "both")]
+
+    def sides(blob: bytes) -> Iterator[tuple[str | None, ET.Element]]:
+        root, _ = wordml.parse(blob)
+        if root is None:
+            return
+        if view is None or not wordml.REVISION.search(blob):
+            yield from ((s, root) for s in (("final", "original") if view == "both" else (view,)))
+        elif view == "both":
+            yield "final", wordml.in_view(copy.deepcopy(root), "final", where)
+            yield "original", wordml.in_view(root, "original", where)
+        else:
+            yield view, wordml.in_view(root, view, where)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: list[str] = []
+        views: list[str | None] = []
+        columns: list[list] = [[] for _ in names]
+
+        def emit() -> pa.RecordBatch:
+            lists = [docs, *([views] if view == "both" else []), *columns]
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(lists, arrow, strict=True)], schema=arrow)
+            for c in lists:
+                c.clear()
+            return made
+
         for batch in batches:
             for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                root, _ = wordml.parse(blob)
-                if root is None:
-                    continue
-                if view and wordml.REVISION.search(blob):
-                    root = wordml.in_view(root, view)
-                found = [{"doc": doc, **r} for r in read(root)]
-                if found:
-                    yield pa.RecordBatch.from_pylist(found, schema=arrow)
+                for side, root in sides(blob):
+                    for r in read(root):
+                        docs.append(doc)
+                        views.append(side)
+                        for c, n in zip(columns, names, strict=True):
+                            c.append(r[n])
+                if len(docs) >= AT_ONCE:
+                    yield emit()
+        if docs:
+            yield emit()
 
-    return parts.where(F.col("part") == part).select("doc", "blob").mapInArrow(run, full)
+    return parts.where((F.col("part") == part) & F.col("blob").isNotNull()).select("doc", "blob").mapInArrow(run, full)
 
 
 def blocks(parts: DataFrame, view: str = "final") -> DataFrame:
@@ -104,12 +137,22 @@ def orphan_notes(parts: DataFrame) -> DataFrame:
     return notes(parts).join(refs, ["doc", "kind", "id"], "left_anti")
 
 
-def dead_links(parts: DataFrame) -> DataFrame:
+def dangling_links(parts: DataFrame) -> DataFrame:
     """Links whose place isn't in the document."""
     names = bookmarks(parts).select("doc", F.col("name").alias("anchor"))
     return links(parts).join(names, ["doc", "anchor"], "left_anti")
 
 
+def internal_links(parts: DataFrame) -> DataFrame:
+    """``(doc, anchor, label, form, para, dead)`` of links to places, in their order, all forms."""
+    return rows_of(parts, markup.internal_links, "anchor string, label string, form string, para int, dead boolean")
+
+
+def dead_links(parts: DataFrame) -> DataFrame:
+    """Links that show nothing; one round a deletion, a drawing or a note shows that, and one not yet rendered isn't dead."""
+    return internal_links(parts).where("dead").drop("dead")
+
+
 def grid_rows(found: DataFrame) -> DataFrame:
     """Cells on their table's full grid: spans repeated, vertical merges carried down."""
     wide = found.withColumn("gcol", F.explode(F.sequence(F.col("gcol"), F.col("gcol") + F.col("span") - 1)))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import house, manuscripts, prose, relational, workload
+from vellum.plans import house, manuscripts, prose, redlines, relational, workload
 from vellum.plans.registry import Query
 
-MODULES = (manuscripts, relational, prose, house, workload)
+MODULES = (manuscripts, relational, prose, house, workload, redlines)
 
 
 def queries() -> dict[str, Query]:

@@ -6,7 +6,7 @@ both sides, since the tables' prose has none.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import citations, numbers, text
@@ -100,9 +100,8 @@ def parsed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def numbers_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value of each printed number, ambiguous ones settled by the mark that most of its table shows."""
-    found = cells(spark, sf_dir)
-    marks = found.groupBy("doc").agg(numbers.decimal_mark(F.col("cell")).alias("mark"))
-    return found.join(marks, "doc").select("doc", "row", "part", "cell", numbers.parse_number(F.col("cell"), F.col("mark")).alias("value"))
+    found = cells(spark, sf_dir).withColumn("mark", numbers.decimal_mark(F.col("cell"), Window.partitionBy("doc")))
+    return found.select("doc", "row", "part", "cell", numbers.parse_number(F.col("cell"), F.col("mark")).alias("value"))
 
 
 @query("SELECT o_orderkey AS doc, CAST(CAST(round(CAST(o_totalprice AS DECIMAL(18,2)), 1) AS DECIMAL(18,1)) AS VARCHAR) || ' USD' AS cell FROM orders")

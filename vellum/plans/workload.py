@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.functions import wordml
 from vellum.operators import documents
 from vellum.plans.registry import Registry, table
 
@@ -50,9 +51,8 @@ def _side(view: str, extra: str) -> str:
 @query(f"{_side('final', "WHEN pos % 10 = 5 THEN ' added words'")} UNION ALL {_side('original', "WHEN pos % 25 = 7 THEN ' gone'")}")
 def perf_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of every paragraph, on both sides of the tracked changes."""
-    parts = manuscripts(spark, sf_dir)
-    side = lambda v: documents.blocks(parts, v).select("doc", "pos", F.lit(v).alias("view"), "text")
-    return side("final").unionByName(side("original"))
+    found = documents.rows_of(manuscripts(spark, sf_dir), wordml.blocks, documents.BLOCKS, "both")
+    return found.select("doc", "pos", "view", "text")
 
 
 @query(
