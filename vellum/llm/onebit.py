@@ -8,8 +8,8 @@ product it is an unbiased estimate whose error is bounded, with high probability
 falls with the root of the dimension.
 
 Of a block's codes, the rows of the best estimates are scored exactly, which gives a score to beat;
-then all rows whose upper bound reaches it are scored exactly.  All rows are indexed.  The centre is
-fitted to a bounded sample, ``SAMPLE`` rows.
+then all rows whose upper bound reaches it are scored exactly.  All rows are indexed, and the centre is
+their mean.
 """
 
 from __future__ import annotations
@@ -17,15 +17,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.common import cut, table
-from vellum.llm.vectors import best, pack, search
+from vellum.llm.vectors import best, matrix, pack, search
 
 K = 20
-#: Rows that the centre is fitted to.
-SAMPLE = 10_000
 #: Width of the error bound, in deviations of the estimate.
 WIDTH = 1.9
 BITS = 4
@@ -112,13 +112,29 @@ def finder(centres: dict[int, np.ndarray]) -> Callable:
     return find
 
 
-def centres(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
-    """The mean vector of each dimension, over a sample of ``sample`` rows by a hash of the id."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id", "vec").limit(sample).collect()
-    found: dict[int, list[np.ndarray]] = {}
-    for r in rows:
-        found.setdefault(r["dim"], []).append(np.frombuffer(r["vec"], "<f8"))
-    return {d: np.mean(v, axis=0) for d, v in found.items()}
+def centres(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """The mean vector of each dimension, over all rows.
+
+    A task adds its rows up; what comes to the driver is a number for each component.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        rows: dict[int, int] = {}
+        for batch in batches:
+            for dim in batch.column("dim").unique().to_pylist():
+                own = batch.filter(pc.equal(batch.column("dim"), dim)).column("vec")
+                sums[dim] = sums.get(dim, 0) + matrix(own, dim).sum(axis=0)
+                rows[dim] = rows.get(dim, 0) + len(own)
+        if sums:
+            yield pa.RecordBatch.from_pydict({"dim": pa.array(list(sums), pa.int32()), "n": list(rows.values()), "total": [x.tolist() for x in sums.values()]})
+
+    parts = vectors.mapInArrow(run, "dim int, n long, total array<double>")
+    means = parts.select("dim", "n", F.posexplode("total").alias("at", "x")).groupBy("dim", "at").agg((F.sum("x") / F.sum("n")).alias("mean"))
+    found: dict[int, np.ndarray] = {}
+    for r in means.collect():
+        found.setdefault(r["dim"], np.zeros(r["dim"]))[r["at"]] = r["mean"]
+    return found
 
 
 def nearest(frame: DataFrame, query: str, id_column: str = "vec_id", vector_column: str = "embedding", k: int = K) -> DataFrame:
@@ -134,5 +150,5 @@ def nearest(frame: DataFrame, query: str, id_column: str = "vec_id", vector_colu
 
 
 def op6_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty nearest of every twentieth vector."""
+    """The twenty nearest of every twentieth vector; null, zero and repeated rows as in ``nearest``."""
     return nearest(table(spark, sf_dir, "embeddings"), "id % 20 = 0")

@@ -14,8 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellum.llm.common import table
+from vellum.llm.common import cut, table
 from vellum.llm.vectors import best, pack, search
 
 SCALE = 1024
@@ -106,15 +107,19 @@ def top_k(frame: DataFrame, query: str, id_column: str = "vec_id", vector_column
     """``(query_id, rank, vec_id, score)``: each query's k highest integer inner products among all rows.
 
     ``query`` is a condition on ``id``.  Vectors that are null, empty or hold null or non-finite
-    numbers take no part, nor do rows without an id.  Repeated rows are candidates each; rows of the
+    numbers take no part, nor do rows without an id, nor those with a component so large that a score
+    could pass a long (``2 ** 31 / sqrt(dimensions) / scale``, some 260,000 at 64).  Repeated rows are candidates each; rows of the
     query's own id are not.  A repeated query id is one query for each of its rows' candidates, cut
     to k.  An empty table gives no rows.
     """
-    return search(pack(frame, id_column, vector_column, zero=True), query, k, find, "long")
+    most = F.lit(2.0**31) / F.sqrt(F.size(vector_column)) / SCALE - 1
+    huge = F.exists(F.col(vector_column).cast("array<double>"), lambda x: F.abs(x) > most)
+    fit = frame.where(F.coalesce(~huge, F.lit(True)))
+    return search(cut(pack(fit, id_column, vector_column, zero=True)), query, k, find, "long")
 
 
 def op1_saat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten highest scores of every hundredth vector."""
+    """The ten highest scores of every hundredth vector; null, empty and repeated rows as in ``top_k``."""
     return top_k(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
 
 

@@ -14,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut
-
 BLOCK = 16384
 QUERIES = 2048
 PACKED = "id long, dim int, vec binary"
@@ -57,11 +55,12 @@ Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], Iterato
 def search(vectors: DataFrame, query: str, k: int, find: Search, score_type: str) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` of the ``k`` best of all packed vectors for those where ``query`` holds.
 
+    ``vectors`` is read several times, so its lineage should be cut.
+
     ``find(query ids, query vectors, ids, vectors, k)`` gives (query's row, rows, scores) within a
     block, best first, ties to smaller ids.  Rows of the query's own id are no candidates, and
     vectors of other dimensions aren't either.
     """
-    vectors = cut(vectors)
     queries = vectors.where(query)
     blocks = max(1, -(-vectors.count() // BLOCK))
     groups = max(1, -(-queries.count() // QUERIES))

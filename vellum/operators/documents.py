@@ -86,6 +86,11 @@ def rows_of(parts: DataFrame, read: Callable, schema: str, view: str | None = No
     return parts.where((F.col("part") == part) & F.col("blob").isNotNull()).select("doc", "blob").mapInArrow(run, full)
 
 
+def held(frame: DataFrame) -> DataFrame:
+    """The rows kept where several branches of a plan read them: written to ``spark.checkpoint.dir``, or cached where that is unset."""
+    return frame.checkpoint() if frame.sparkSession.sparkContext.getCheckpointDir() else frame.persist()
+
+
 def blocks(parts: DataFrame, view: str = "final") -> DataFrame:
     return rows_of(parts, wordml.blocks, BLOCKS, view)
 
