@@ -1,47 +1,63 @@
-"""Small manuscripts in code."""
+"""Small manuscripts in code: one function makes any element, the others name the shapes that tests need."""
 
 from __future__ import annotations
 
+from vellum.functions.wordml import PREFIXES
 from vellum.sources.packages import package_bytes
 
-NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
+NS = " ".join(f'xmlns:{p}="{PREFIXES[p]}"' for p in ("w", "m"))
 
 
-def run(text: str, tag: str = "t") -> str:
-    return f'<w:r><w:{tag} xml:space="preserve">{text}</w:{tag}></w:r>'
+def make(tag: str, *inner: str, **attributes: object) -> str:
+    """An element; attributes are of the tag's own namespace."""
+    prefix = tag.partition(":")[0]
+    said = "".join(f' {prefix}:{k}="{v}"' for k, v in attributes.items())
+    return f"<{tag}{said}>{''.join(inner)}</{tag}>"
 
 
-def para(*inner: str, style: str = "", mark: str = "") -> str:
-    props = (f'<w:pStyle w:val="{style}"/>' if style else "") + (f"<w:rPr><w:{mark} w:id='90' w:author='A'/></w:rPr>" if mark else "")
-    body = "".join(x if x.startswith("<") else run(x) for x in inner)
-    return f"<w:p>{f'<w:pPr>{props}</w:pPr>' if props else ''}{body}</w:p>"
+def piece(text: str, tag: str = "w:t") -> str:
+    return make("w:r", f'<{tag} xml:space="preserve">{text}</{tag}>')
 
 
-def ins(text: str, n: int = 1, author: str = "Ann") -> str:
-    return f'<w:ins w:id="{n}" w:author="{author}" w:date="2026-01-0{n}T00:00:00Z">{run(text)}</w:ins>'
+def change(tag: str, text: str, number: int, author: str) -> str:
+    shown = piece(text, "w:delText" if tag == "w:del" else "w:t")
+    return make(tag, shown, id=number, author=author, date=f"2026-01-0{number}T00:00:00Z")
 
 
-def dele(text: str, n: int = 2, author: str = "Bob") -> str:
-    return f'<w:del w:id="{n}" w:author="{author}" w:date="2026-01-0{n}T00:00:00Z">{run(text, "delText")}</w:del>'
+def added(text: str, number: int = 1, author: str = "Ann") -> str:
+    return change("w:ins", text, number, author)
 
 
-def table(*rows: list[str]) -> str:
-    cell = lambda x: x if x.startswith("<w:tc>") else f"<w:tc>{para(x)}</w:tc>"
-    return "<w:tbl>" + "".join("<w:tr>" + "".join(map(cell, r)) + "</w:tr>" for r in rows) + "</w:tbl>"
+def removed(text: str, number: int = 2, author: str = "Bob") -> str:
+    return change("w:del", text, number, author)
 
 
-def maths(text: str) -> str:
-    return f"<m:oMath><m:r><m:t>{text}</m:t></m:r></m:oMath>"
+def line(*inner: str, style: str = "", mark: str = "") -> str:
+    """A paragraph of texts and elements, with a style, and a change of its end mark."""
+    props = make("w:pStyle", val=style) if style else ""
+    props += make("w:rPr", make(f"w:{mark}", id=90, author="A")) if mark else ""
+    return make("w:p", make("w:pPr", props) if props else "", *(x if x.startswith("<") else piece(x) for x in inner))
 
 
-def document(*body: str) -> bytes:
-    return f'<?xml version="1.0" encoding="UTF-8"?><w:document {NS}><w:body>{"".join(body)}</w:body></w:document>'.encode()
+def grid(*rows: list[str]) -> str:
+    return make("w:tbl", *(make("w:tr", *(c if c.startswith("<w:tc>") else make("w:tc", line(c)) for c in r)) for r in rows))
 
 
-def notes(kind: str, **texts: str) -> bytes:
-    inner = "".join(f'<w:{kind} w:id="{k[1:]}">{para(t)}</w:{kind}>' for k, t in texts.items())
-    return f'<w:{kind}s {NS}><w:{kind} w:id="0" w:type="separator"><w:p/></w:{kind}>{inner}</w:{kind}s>'.encode()
+def formula(text: str) -> str:
+    return make("m:oMath", make("m:r", make("m:t", text)))
 
 
-def package(body: bytes, **more: bytes) -> bytes:
-    return package_bytes([("[Content_Types].xml", b"<Types/>"), ("word/document.xml", body), *((f"word/{k}.xml", v) for k, v in more.items())])
+def part(root: str, *inner: str) -> bytes:
+    return f'<?xml version="1.0" encoding="UTF-8"?><{root} {NS}>{"".join(inner)}</{root}>'.encode()
+
+
+def body(*inner: str) -> bytes:
+    return part("w:document", make("w:body", *inner))
+
+
+def footnotes(**texts: str) -> bytes:
+    return part("w:footnotes", make("w:footnote", "<w:p/>", id=0, type="separator"), *(make("w:footnote", line(t), id=k[1:]) for k, t in texts.items()))
+
+
+def archive(document: bytes, **more: bytes) -> bytes:
+    return package_bytes([("[Content_Types].xml", b"<Types/>"), ("word/document.xml", document), *((f"word/{k}.xml", v) for k, v in more.items())])

@@ -48,8 +48,9 @@ def test_sections(spark):
 
 
 def test_comments_and_notes(spark):
-    comments = spark.createDataFrame([("d", "1", "Ann", "Fix  this"), ("d", "2", "Ann", "Fix this "), ("d", "3", "Bob", "Fix this"), ("d", "4", "Ann", " "), ("d", "5", "Ann", " ")], "doc string, id string, author string, text string")
-    assert [r["id"] for r in audits.repeated_comments(comments).collect()] == ["2"]
+    rows = [("1", "Ann", "Fix  this", 4), ("2", "Ann", "Fix this ", 4), ("3", "Bob", "Fix this", 4), ("4", "Ann", " ", 4), ("5", "Ann", " ", 4), ("6", "Ann", "Fix\tthis", 9), ("7", "Ann", "Fix this", None), ("8", "Ann", "Fix this", 9), ("9", "Cy", "Here", None), ("10", "Cy", "Here", 3)]
+    comments = spark.createDataFrame([("d", *r) for r in rows], "doc string, id string, author string, text string, anchor int")
+    assert sorted(int(r["id"]) for r in audits.repeated_comments(comments).collect()) == [2, 7, 8, 10]
     refs = spark.createDataFrame([("d", "1", 5), ("d", "2", 3), ("d", "3", 9), ("e", "1", 1)], "doc string, id string, pos int")
     assert sorted((r["id"], r["should"]) for r in audits.note_order(refs).collect()) == [("1", 2), ("2", 1)]
 
@@ -71,7 +72,7 @@ def test_edits_keep_runs_and_formatting():
 
 @pytest.mark.parametrize(
     ("fragment", "old", "why"),
-    [(P, "absent", "isn't there"), (P, "t", "times"), ("<w:p><w:hyperlink w:anchor='a'><w:r><w:t>word</w:t></w:r></w:hyperlink></w:p>", "word", "link"), (f"<w:p>{B.maths('x')}</w:p>", "x", "equation")],
+    [(P, "absent", "isn't there"), (P, "t", "times"), ("<w:p><w:hyperlink w:anchor='a'><w:r><w:t>word</w:t></w:r></w:hyperlink></w:p>", "word", "link"), (f"<w:p>{B.formula('x')}</w:p>", "x", "equation")],
 )
 def test_edits_that_are_refused(fragment, old, why):
     with pytest.raises(editing.Refused, match=why):
@@ -87,15 +88,26 @@ def test_links_are_undone():
 def test_a_batch_per_document(spark, tmp_path):
     from vellum.sources import packages
 
-    (tmp_path / "a.docx").write_bytes(B.package(B.document(B.para("first old words"), B.para("an untouched paragraph"), B.para("second old words"))))
+    (tmp_path / "a.docx").write_bytes(B.archive(B.body(B.line("the sail is red"), B.line("nothing changes here"), B.line("the hull is red"))))
     parts = packages.read_parts(spark, str(tmp_path))
     paragraphs = documents.paragraphs_of(parts).withColumn("doc", F.lit("a"))
     edits = spark.createDataFrame(
-        [("a", 0, "one", "first", "old", "new"), ("a", 1, "two", "first new", "new words", "newer words"), ("a", 2, "three", "absent", "x", "y"), ("a", 3, "four", "second", "old", "old")],
+        [("a", 0, "one", "sail", "red", "blue"), ("a", 1, "two", "sail is blue", "is blue", "was blue"), ("a", 2, "three", "absent", "x", "y"), ("a", 3, "four", "hull", "red", "red")],
         "doc string, seq int, name string, sign string, old string, new string",
     )
     made, verdicts = documents.apply_edits(paragraphs, edits)
-    assert [editing.text(r["xml"]) for r in made.orderBy("pos").collect()] == ["first newer words", "an untouched paragraph", "second old words"]
+    assert [editing.text(r["xml"]) for r in made.orderBy("pos").collect()] == ["the sail was blue", "nothing changes here", "the hull is red"]
     assert [(r["name"], r["ok"]) for r in verdicts.orderBy("seq").collect()] == [("one", True), ("two", True), ("three", False), ("four", False)]
     before, after = (f.agg(*(F.sum(audits.invariants(F.col("xml"))[c]).alias(c) for c in ("bookmarks", "links", "notes", "rows"))).first() for f in (paragraphs, made))
     assert before == after
+
+
+def test_entries_that_have_to_move():
+    import itertools
+
+    assert audits.misfiled([1, 2, 9, 3, 4]) == [2] and audits.misfiled([]) == [] and audits.misfiled([2, 2, 2]) == []
+    for keys in itertools.product(range(4), repeat=6):
+        moved = audits.misfiled(list(keys))
+        rest = [k for i, k in enumerate(keys) if i not in moved]
+        longest = max(n for n in range(7) for c in itertools.combinations(keys, n) if list(c) == sorted(c))
+        assert rest == sorted(rest) and len(rest) == longest

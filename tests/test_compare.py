@@ -7,13 +7,13 @@ from vellum.sources import packages
 
 def parts(spark, folder, body, **more):
     folder.mkdir(exist_ok=True)
-    (folder / "a.docx").write_bytes(B.package(body, **more))
+    (folder / "a.docx").write_bytes(B.archive(body, **more))
     return packages.read_parts(spark, str(folder)).withColumn("doc", F.lit("a"))
 
 
 def body(text="An untouched paragraph", maths="x−1", label="Table 1", mark="Table1"):
-    link = f"<w:hyperlink w:anchor='{mark}'>{B.run(label)}</w:hyperlink>"
-    return B.document(B.para("First one of all"), B.para(text), B.para(B.maths(maths)), B.para("See ", link), f"<w:p><w:bookmarkStart w:id='1' w:name='{mark}'/>{B.run('Table 1. Title')}<w:bookmarkEnd w:id='1'/></w:p>")
+    link = f"<w:hyperlink w:anchor='{mark}'>{B.piece(label)}</w:hyperlink>"
+    return B.body(B.line("First one of all"), B.line(text), B.line(B.formula(maths)), B.line("See ", link), f"<w:p><w:bookmarkStart w:id='1' w:name='{mark}'/>{B.piece('Table 1. Title')}<w:bookmarkEnd w:id='1'/></w:p>")
 
 
 def buckets(report):
@@ -21,7 +21,7 @@ def buckets(report):
 
 
 def test_a_package_against_itself_and_others(spark, tmp_path):
-    notes = B.notes("footnote", n1="A note")
+    notes = B.footnotes(n1="A note")
     own = parts(spark, tmp_path / "x", body(), footnotes=notes)
     assert compare.compare_packages(own, own).count() == 0 and compare.is_clean(compare.compare_packages(own, own))
     for k, (other, want) in enumerate(
@@ -31,7 +31,7 @@ def test_a_package_against_itself_and_others(spark, tmp_path):
             (dict(body=body(maths="x−2"), footnotes=notes), ["formula"]),
             (dict(body=body(label="Table one"), footnotes=notes), ["links", "text"]),
             (dict(body=body(mark="Table2"), footnotes=notes), ["bookmarks", "links"]),
-            (dict(body=body(), footnotes=B.notes("footnote", n1="Another note")), ["notes"]),
+            (dict(body=body(), footnotes=B.footnotes(n1="Another note")), ["notes"]),
             (dict(body=body()), ["notes", "structure"]),
         ]
     ):

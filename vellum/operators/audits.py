@@ -121,10 +121,70 @@ def section_mentions(paragraphs: DataFrame, heads: DataFrame, text: str = "text"
 
 
 def repeated_comments(comments: DataFrame) -> DataFrame:
-    """Comments of one author whose text, white space aside, was there before; blank ones never repeat."""
-    shown = F.regexp_replace(F.trim("text"), r"(?U)\s+", " ")
+    """Comments ``(doc, id, author, text, anchor)`` of one author that say again, in the same place, what was said there before.
+
+    White space aside texts have to be the same; a comment whose paragraph isn't known may be anywhere;
+    blank ones never repeat.
+    """
+    shown = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
     order = Window.partitionBy("doc", "author", "_t").orderBy(F.col("id").cast("long"))
-    return comments.withColumn("_t", shown).where("_t <> ''").withColumn("_k", F.row_number().over(order)).where("_k > 1").drop("_t", "_k")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = comments.withColumn("_t", shown).where("_t <> ''").withColumn("_k", F.row_number().over(order))
+    placed = placed.withColumn("_first", F.first(F.struct(F.col("anchor").alias("a"))).over(order)).withColumn("_seen", F.collect_set("anchor").over(before))
+    again = F.col("anchor").isNull() | F.col("_first.a").isNull() | F.array_contains("_seen", F.col("anchor"))
+    return placed.where((F.col("_k") > 1) & again).drop("_t", "_k", "_first", "_seen")
+
+
+def misfiled(keys: list) -> list[int]:
+    """The fewest places whose entries have to move for the rest to be in order: all outside a longest run that is."""
+    import bisect
+
+    ends: list = []
+    at: list[int] = []
+    back = [-1] * len(keys)
+    for i, k in enumerate(keys):
+        j = bisect.bisect_right(ends, k)
+        back[i] = at[j - 1] if j else -1
+        if j == len(ends):
+            ends.append(k)
+            at.append(i)
+        else:
+            ends[j], at[j] = k, i
+    keep, i = set(), at[-1] if at else -1
+    while i >= 0:
+        keep.add(i)
+        i = back[i]
+    return [i for i in range(len(keys)) if i not in keep]
+
+
+def filing_key(surname: Column, text: Column) -> Column:
+    """Where an entry files: its surname without marks and points, then its whole text; case doesn't count."""
+    # composed letters fold to plain ones
+    from_, to = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįıĵķĺļľñńņňòóôõöøōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž", "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiiijklllnnnnooooooooorrrssssttuuuuuuuuuuwyyyzzz"
+    fold = lambda c: F.translate(F.lower(F.trim(c)), from_, to)
+    return F.struct(F.trim(F.regexp_replace(fold(surname), r"[^\p{L}\p{N} ]", "")).alias("name"), fold(text).alias("whole"))
+
+
+def entry_order(entries: DataFrame) -> DataFrame:
+    """``entries(doc, pos, surname, text)`` that have to move for their list to be in order, with ``place``, where they go.
+
+    Lists with entries that continue the one above ("———") aren't judged.
+    """
+    import pyarrow as pa
+
+    keyed = entries.withColumn("_key", filing_key(F.col("surname"), F.col("text"))).withColumn("_cont", F.max(F.col("text").rlike(r"^\s*[—–_-]{2,}").cast("int")).over(Window.partitionBy("doc"))).where("_cont = 0")
+    rows = keyed.select("doc", "pos", F.col("_key.name").alias("name"), F.col("_key.whole").alias("whole"))
+    doc, pos = (rows.schema[c].dataType.simpleString() for c in ("doc", "pos"))
+
+    def run(table: pa.Table) -> pa.Table:
+        order = table.sort_by("pos")
+        keys = list(zip(order.column("name").to_pylist(), order.column("whole").to_pylist(), strict=True))
+        moved = misfiled(keys)
+        rank = {i: r for r, i in enumerate(sorted(range(len(keys)), key=lambda i: (keys[i], i)))}
+        take = pa.array(moved, pa.int64())
+        return pa.table({"doc": order.column("doc").take(take), "pos": order.column("pos").take(take), "place": pa.array([rank[i] for i in moved], pa.int32())})
+
+    return rows.groupBy("doc").applyInArrow(run, f"doc {doc}, pos {pos}, place int")
 
 
 def note_order(references: DataFrame) -> DataFrame:

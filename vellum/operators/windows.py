@@ -47,6 +47,33 @@ def regressions(log: DataFrame, name: str, seconds: str, order: list[str], slowe
     return medians.where((F.col("now") >= F.col("was") * slower) & (F.col("now") - F.col("was") >= floor)).select(name, "was", "now", (F.col("now") - F.col("was")).alias("delta"), "samples")
 
 
+def underfilled(sheets: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``sheets(doc, sheet, chars, exhibit)`` that hold less than ``threshold`` of their document's fullest sheet of text.
+
+    A sheet that an exhibit is on is none of text; a document's first and last are short for reasons of their own.
+    """
+    whole = Window.partitionBy("doc")
+    full = F.max(F.when(~F.col("exhibit"), F.col("chars"))).over(whole)
+    edge = (F.col("sheet") == F.min("sheet").over(whole)) | (F.col("sheet") == F.max("sheet").over(whole))
+    told = sheets.withColumn("fullest", full).withColumn("_edge", edge)
+    return told.where(~F.col("exhibit") & ~F.col("_edge") & (F.col("chars") < F.col("fullest") * threshold)).drop("_edge")
+
+
+def blamed(short: DataFrame, landings: DataFrame) -> DataFrame:
+    """``short(doc, sheet)`` with ``exhibit``, that of ``landings(doc, exhibit, first)`` which starts on the next sheet, null if none."""
+    l = landings.groupBy(F.col("doc").alias("_d"), F.col("first").alias("_f")).agg(F.min("exhibit").alias("exhibit"))  # noqa: E741
+    return short.join(l, (F.col("doc") == F.col("_d")) & (F.col("sheet") + 1 == F.col("_f")), "left").drop("_d", "_f")
+
+
+def off_majority(rows: DataFrame, doc: str, value: str, least: int = 8, share: float = 0.9, odd: int = 2) -> DataFrame:
+    """Rows whose value isn't their document's practice: one that ``least`` rows and ``share`` of them have, with ``odd`` others at most."""
+    counted = rows.groupBy(doc, value).agg(F.count("*").alias("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(doc)))
+    order = Window.partitionBy(doc).orderBy(F.desc("_n"), value)
+    house = counted.withColumn("_k", F.row_number().over(order)).where((F.col("_k") == 1) & (F.col("_n") >= least) & (F.col("_n") >= F.col("_all") * share) & (F.col("_all") - F.col("_n") <= odd))
+    named = house.select(F.col(doc).alias("_d"), F.col(value).alias("practice"))
+    return rows.join(named, F.col(doc) == F.col("_d")).where(F.col(value) != F.col("practice")).drop("_d")
+
+
 def numbering_breaks(sheets: DataFrame, doc: str, sheet: str, printed: str) -> DataFrame:
     """Sheets whose printed number isn't one more than the one before: RESTART or JUMP."""
     was = F.lag(printed).over(Window.partitionBy(doc).orderBy(sheet))

@@ -69,12 +69,14 @@ def caption_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    WITH c AS ({CAPTIONS_SQL}), n AS (SELECT DISTINCT doc, 'Table' || number || e AS name FROM c, (VALUES (''), ('txt')) x(e) WHERE (e = '' AND CAST(number AS BIGINT) % 3 <> 0) OR (e = 'txt' AND CAST(number AS BIGINT) % 2 = 0)),
-         r AS (SELECT DISTINCT doc, 'Table' || CAST(CAST(number AS BIGINT) + d AS VARCHAR) || e AS name FROM c, (VALUES ('', 0), ('txt', 0), ('', 1)) x(e, d) WHERE CAST(number AS BIGINT) <> 4)
-    SELECT c.doc, CASE WHEN a.name IS NOT NULL AND t.name IS NOT NULL THEN CASE WHEN (c.doc, a.name) IN (SELECT (doc, name) FROM r) AND (c.doc, t.name) IN (SELECT (doc, name) FROM r) THEN 'linked' ELSE 'unreached' END
+    WITH c AS ({CAPTIONS_SQL}), v AS (SELECT doc, number, CAST(number AS BIGINT) AS k FROM c),
+         n AS (SELECT DISTINCT doc, 'Table' || number AS name FROM v WHERE k % 3 <> 0 UNION SELECT DISTINCT doc, 'Table' || number || 'txt' FROM v WHERE k % 2 = 0),
+         r AS (SELECT DISTINCT doc, 'Table' || number AS name FROM v WHERE k <> 4 UNION SELECT DISTINCT doc, 'Table' || number || 'txt' FROM v WHERE k <> 4 UNION SELECT DISTINCT doc, 'Table' || CAST(k + 1 AS VARCHAR) FROM v WHERE k <> 4)
+    SELECT c.doc, CASE WHEN a.name IS NOT NULL AND t.name IS NOT NULL THEN CASE WHEN ra.name IS NOT NULL AND rt.name IS NOT NULL THEN 'linked' ELSE 'unreached' END
                 WHEN a.name IS NOT NULL THEN 'caption-only' WHEN t.name IS NOT NULL THEN 'mention-only' ELSE 'unlinked' END AS finding, 'Table' || c.number AS subject
     FROM c LEFT JOIN n a ON a.doc = c.doc AND a.name = 'Table' || c.number LEFT JOIN n t ON t.doc = c.doc AND t.name = 'Table' || c.number || 'txt'
-    UNION ALL SELECT doc, 'dangling', name FROM r WHERE (doc, name) NOT IN (SELECT (doc, name) FROM n)
+           LEFT JOIN r ra ON ra.doc = c.doc AND ra.name = 'Table' || c.number LEFT JOIN r rt ON rt.doc = c.doc AND rt.name = 'Table' || c.number || 'txt'
+    UNION ALL SELECT r.doc, 'dangling', r.name FROM r LEFT JOIN n ON n.doc = r.doc AND n.name = r.name WHERE n.name IS NULL
     """
 )
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +91,16 @@ def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(id AS VARCHAR) AS id FROM (SELECT conv_id, turn AS id, row_number() OVER (PARTITION BY conv_id, role, left(text, 2) ORDER BY turn) AS k, text FROM conversations)
-    WHERE k > 1 AND trim(left(text, 2)) <> ''
+    WITH t AS (SELECT conv_id, turn, role, text, CASE WHEN turn % 5 = 4 THEN NULL ELSE conv_id % 3 END AS anchor FROM conversations WHERE trim(text) <> ''),
+         c AS (SELECT conv_id, 2 * turn AS id, role, text, anchor FROM t UNION ALL SELECT conv_id, 2 * turn + 1, role, text, CASE WHEN turn % 2 = 0 THEN anchor ELSE 7 END FROM t)
+    SELECT CAST(b.conv_id AS VARCHAR) AS doc, CAST(b.id AS VARCHAR) AS id FROM (SELECT *, row_number() OVER w AS k, first_value(anchor) OVER w AS first FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS said FROM c) WINDOW w AS (PARTITION BY conv_id, role, said ORDER BY id)) b
+    WHERE k > 1 AND (anchor IS NULL OR first IS NULL OR EXISTS (SELECT 1 FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS said FROM c) e WHERE e.conv_id = b.conv_id AND e.role = b.role AND e.said = b.said AND e.id < b.id AND e.anchor = b.anchor))
     """
 )
 def repeated_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comments that their author made before; a comment is a turn's beginning here."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").cast("string").alias("id"), F.col("role").alias("author"), F.left("text", F.lit(2)).alias("text"))
-    return audits.repeated_comments(turns).select("doc", "id")
+    """Comments that say again in the same place what their author said: every turn, and all again with other white space, some elsewhere."""
+    said = F.col("conv_id").cast("string").alias("doc"), F.col("role").alias("author")
+    turns = table(spark, sf_dir, "conversations").where("trim(text) <> ''").withColumn("anchor", F.when(F.col("turn") % 5 != 4, F.col("conv_id") % 3))
+    once = turns.select(*said, (2 * F.col("turn")).cast("string").alias("id"), "text", "anchor")
+    again = turns.select(*said, (2 * F.col("turn") + 1).cast("string").alias("id"), F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit(" \n ")), F.lit("\t")).alias("text"), F.when(F.col("turn") % 2 == 0, F.col("anchor")).otherwise(F.lit(7)).alias("anchor"))
+    return audits.repeated_comments(once.unionByName(again)).select("doc", "id")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.operators import checks, tables, windows
+from vellum.operators import audits, checks, tables, windows
 from vellum.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -116,28 +116,23 @@ def comment_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(parents, ["conv_id", "turn"], "left")
 
 
-CAPTIONS_SQL = """
-    blocks AS (SELECT doc, pos, row_number() OVER (PARTITION BY doc ORDER BY pos) AS k, kind FROM (
-        SELECT user_id AS doc, event_id AS pos, CASE event_type WHEN 'signup' THEN 'caption' WHEN 'purchase' THEN 'table' ELSE 'paragraph' END AS kind FROM events))
-"""
+#: Blocks by the customer's key modulo four: captions above, captions below, a table behind another caption, and prose only.
+LAYOUTS = {0: "c t p c t", 1: "t c p t c", 2: "c c t p t", 3: "p p c p t"}
+OWNERS = {0: {1: 0, 4: 3}, 1: {0: 1, 3: 4}, 2: {2: 1, 4: None}, 3: {4: 2}}
+NAMES = {"c": "caption", "t": "table", "p": "paragraph"}
 
 
-@query(
-    f"""
-    WITH {CAPTIONS_SQL}, near AS (
-        SELECT doc, pos, kind, k,
-               last_value(CASE WHEN kind = 'caption' THEN k END IGNORE NULLS) OVER w AS above,
-               first_value(CASE WHEN kind = 'caption' THEN k END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below
-        FROM blocks WINDOW w AS (PARTITION BY doc ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-    SELECT doc, pos, CAST(CASE WHEN above IS NULL THEN below WHEN below IS NULL THEN above WHEN k - above <= below - k THEN above ELSE below END AS BIGINT) AS caption
-    FROM near WHERE kind = 'table'
-    """
-)
+def _owners_sql() -> str:
+    rows = [(m, t, "NULL" if c is None else c) for m, owners in OWNERS.items() for t, c in owners.items()]
+    return f"SELECT c_custkey AS doc, CAST(t AS BIGINT) AS pos, CAST(c AS BIGINT) AS caption FROM customer, (VALUES {', '.join(map(str, rows)).replace(chr(39), '')}) v(m, t, c) WHERE c_custkey % 4 = m"
+
+
+@query(_owners_sql())
 def tables_with_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each table with the nearer caption of its document; the one above wins a tie."""
-    kind = F.when(F.col("event_type") == "signup", "caption").when(F.col("event_type") == "purchase", "table").otherwise("paragraph")
-    blocks = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("pos"), kind.alias("kind"))
-    return tables.nearest_captions(blocks, "doc", "pos", "kind").select("doc", "pos", "caption")
+    """Each table with the caption that owns it: no caption reaches behind another, and the table below wins what is open."""
+    layouts = F.array(*(F.array(*(F.lit(NAMES[b]) for b in LAYOUTS[m].split())) for m in range(4)))
+    laid = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), F.posexplode(F.element_at(layouts, (F.col("c_custkey") % 4 + 1).cast("int"))).alias("pos", "kind"))
+    return tables.owned_tables(laid.withColumn("pos", F.col("pos").cast("long")))
 
 
 @query(
@@ -331,31 +326,66 @@ def format_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.islands(runs, "doc", "pos", "format")
 
 
+SHEETS_SQL = "SELECT l_orderkey AS doc, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS INTEGER) AS sheet, CAST(l_quantity AS DOUBLE) AS chars, l_returnflag = 'R' AS exhibit FROM lineitem"
+
+
+def sheets_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.row_number().over(order).alias("sheet"), F.col("l_quantity").alias("chars"), (F.col("l_returnflag") == "R").alias("exhibit"))
+
+
 @query(
-    """
-    SELECT doc, sheet, chars, fullest FROM (SELECT l_orderkey AS doc, l_linenumber AS sheet, CAST(l_quantity AS DOUBLE) AS chars, CAST(max(CASE WHEN l_returnflag = 'N' THEN l_quantity END) OVER (PARTITION BY l_orderkey) AS DOUBLE) AS fullest FROM lineitem)
-    WHERE chars < 0.5 * fullest
+    f"""
+    SELECT doc, sheet, chars, exhibit, fullest FROM (SELECT *, max(CASE WHEN NOT exhibit THEN chars END) OVER w AS fullest, min(sheet) OVER w AS lo, max(sheet) OVER w AS hi FROM ({SHEETS_SQL}) WINDOW w AS (PARTITION BY doc))
+    WHERE NOT exhibit AND sheet NOT IN (lo, hi) AND chars < 0.5 * fullest
     """
 )
 def underfilled_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheets that hold less than half of their document's fullest text sheet."""
-    sheets = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("sheet"), F.col("l_quantity").alias("chars"), (F.col("l_returnflag") == "N").alias("text"))
-    full = F.max(F.when(F.col("text"), F.col("chars"))).over(Window.partitionBy("doc"))
-    return sheets.withColumn("fullest", full).where("chars < 0.5 * fullest").drop("text")
+    """Sheets that hold less than half of their document's fullest sheet of text; first, last and exhibits' sheets never count."""
+    return windows.underfilled(sheets_of(spark, sf_dir))
+
+
+@query(
+    f"""
+    WITH s AS ({SHEETS_SQL}), u AS (SELECT doc, sheet FROM (SELECT *, max(CASE WHEN NOT exhibit THEN chars END) OVER w AS fullest, min(sheet) OVER w AS lo, max(sheet) OVER w AS hi FROM s WINDOW w AS (PARTITION BY doc))
+        WHERE NOT exhibit AND sheet NOT IN (lo, hi) AND chars < 0.5 * fullest)
+    SELECT u.doc, u.sheet, e.sheet AS exhibit FROM u LEFT JOIN s e ON e.doc = u.doc AND e.exhibit AND e.sheet = u.sheet + 1
+    """
+)
+def blamed_exhibits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short sheets with the exhibit that starts on the next one."""
+    sheets = sheets_of(spark, sf_dir)
+    landings = sheets.where("exhibit").select("doc", F.col("sheet").alias("exhibit"), F.col("sheet").alias("first"))
+    return windows.blamed(windows.underfilled(sheets).select("doc", "sheet"), landings)
 
 
 @query(
     """
-    SELECT doc, key, CAST(place AS BIGINT) AS place, CAST(should AS BIGINT) AS should FROM (
-        SELECT o_custkey AS doc, o_orderkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS should FROM orders)
-    WHERE place <> should
+    WITH r AS (SELECT c_custkey % 7 AS g, c_custkey // 7 AS n, c_custkey FROM customer), s AS (SELECT g, n, c_custkey, row_number() OVER (PARTITION BY g ORDER BY n) - 1 AS k, count(*) OVER (PARTITION BY g) AS t FROM r)
+    SELECT CAST(g AS BIGINT) AS doc, CAST(0 AS BIGINT) AS pos, CAST(t - 1 AS INTEGER) AS place FROM s WHERE k = t - 1
     """
 )
 def reference_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References that aren't at their place in the sorted list."""
-    place = lambda *by: F.row_number().over(Window.partitionBy("doc").orderBy(*by)).cast("long")
-    refs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("key"), "o_orderdate")
-    return refs.select("doc", "key", place("o_orderdate", "key").alias("place"), place("key").alias("should")).where("place <> should")
+    """Entries that have to move for their list to be sorted, where one entry of each list was put first: that one, and no other."""
+    customers = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 7).cast("long").alias("doc"), F.format_string("Name%08d", F.expr("c_custkey DIV 7")).alias("surname"))
+    order = Window.partitionBy("doc").orderBy("surname")
+    listed = customers.withColumn("k", F.row_number().over(order)).withColumn("t", F.count("*").over(Window.partitionBy("doc")))
+    put = listed.select("doc", F.when(F.col("k") == F.col("t"), 0).otherwise(F.col("k")).cast("long").alias("pos"), F.concat(F.lit("Ü"), "surname").alias("surname"), F.concat(F.lit("ü"), "surname", F.lit(", A. (2001).")).alias("text"))
+    return audits.entry_order(put)
+
+
+@query(
+    """
+    WITH n AS (SELECT l_suppkey AS doc, CASE WHEN l_quantity < 48 THEN 1 ELSE CAST(l_quantity AS BIGINT) END AS sep FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0),
+         c AS (SELECT doc, sep, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc) AS total, row_number() OVER (PARTITION BY doc ORDER BY count(*) DESC, sep) AS k FROM n GROUP BY doc, sep),
+         h AS (SELECT doc, sep AS practice FROM c WHERE k = 1 AND n >= 8 AND n >= total * 0.9 AND total - n <= 2)
+    SELECT n.doc, n.sep, h.practice FROM n JOIN h ON h.doc = n.doc WHERE n.sep <> h.practice
+    """
+)
+def odd_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locators written unlike the practice of their list, where there is one."""
+    notes = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_orderkey % 3 = 0").select(F.col("l_suppkey").alias("doc"), F.when(F.col("l_quantity") < 48, 1).otherwise(F.col("l_quantity").cast("long")).alias("sep"))
+    return windows.off_majority(notes, "doc", "sep")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 from collections.abc import Iterator
 
@@ -64,7 +65,21 @@ def to_packages(parts: DataFrame) -> DataFrame:
 
 
 def write_packages(parts: DataFrame, folder: str) -> None:
-    """A file per document, written by the tasks; a file is moved into place when it is whole."""
+    """A file per document, written by the tasks; a file is moved into place when it is whole.
+
+    Documents keep their folders below the longest that all of them share, so that files of one name
+    don't meet; two documents that would be one file are refused before anything is written.
+    """
+    from vellum.operators.documents import held
+
+    made = held(to_packages(parts).select("*", F.regexp_replace(F.regexp_replace("doc", r"/+$", ""), r"^[a-zA-Z][\w+.-]*:/+", "/").alias("place")))
+    ends = made.agg(F.min("place").alias("lo"), F.max("place").alias("hi")).first()
+    shared = os.path.commonprefix([ends["lo"] or "", ends["hi"] or ""]).rpartition("/")[0]
+    file = F.regexp_replace(F.ltrim(F.substring("place", len(shared) + 1, 1 << 30)), r"^/+", "")
+    made = made.withColumn("file", F.when(file.endswith(".docx"), file).otherwise(F.concat(file, F.lit(".docx")))).select("file", "content")
+    twice = made.groupBy("file").count().where("count > 1").select("file").limit(3).collect()
+    if twice:
+        raise ValueError(f"several documents would be one file: {', '.join(r['file'] for r in twice)}")
 
     def write(rows: Iterator) -> None:
         import uuid
@@ -73,15 +88,14 @@ def write_packages(parts: DataFrame, folder: str) -> None:
 
         for row in rows:
             system, root = fs.FileSystem.from_uri(folder)
-            system.create_dir(root, recursive=True)
-            name = row["doc"].rstrip("/").rsplit("/", 1)[-1]
-            name = name if name.endswith(".docx") else f"{name}.docx"
-            passing = f"{root}/.{name}.{uuid.uuid4().hex}"
+            name = row["file"]
+            system.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+            passing = f"{root}/{name}.{uuid.uuid4().hex}.part"
             with system.open_output_stream(passing, compression=None) as f:
                 f.write(row["content"])
             system.move(passing, f"{root}/{name}")
 
-    to_packages(parts).foreachPartition(write)
+    made.foreachPartition(write)
 
 
 def is_regenerated(part):

@@ -1,7 +1,7 @@
 """Packages as they arrive: the same readers over a stream of files.
 
 Parts and their rows are made one file at a time, so no state is kept; findings of a run of files go
-to a table with the batch they came in, and a file that comes again replaces nothing silently.
+to a folder of their batch, so a batch that is done again after a failure replaces what it wrote.
 """
 
 from __future__ import annotations
@@ -21,11 +21,10 @@ def stream_parts(spark: SparkSession, path: str, pattern: str = "*.docx", files_
 
 
 def audit(spark: SparkSession, path: str, out: str, checkpoint: str, pattern: str = "*.docx") -> StreamingQuery:
-    """Structural faults and unreadable files of all that is there now, appended to ``out`` as Parquet, each file once."""
+    """Structural faults and unreadable files of all that is there now, as Parquet in ``out/batch=N``, each file once."""
 
     def write(batch: DataFrame, number: int) -> None:
         broken = batch.where("error IS NOT NULL").select("doc", F.lit("no-package").alias("code"), F.col("error").alias("where"))
-        found = documents.lint(batch).unionByName(broken).withColumn("batch", F.lit(number))
-        found.write.mode("append").parquet(out)
+        documents.lint(batch).unionByName(broken).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
 
     return stream_parts(spark, path, pattern).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
