@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.editing import Refused, read, write
+from vellum.functions.numbers import let
 from vellum.functions.text import visible_text
 from vellum.functions.wordml import XML_SPACE, M, W, text_of
 
@@ -42,9 +43,13 @@ SHOWN = tuple(W + n for n in ("delText", "drawing", "pict", "object", "footnoteR
 
 def append_before_close(xml: Column, tag: str, addition: Column) -> Column:
     """``addition`` before the last closing ``tag``; without one the text stays."""
-    at = F.length(xml) - F.instr(F.reverse(xml), f"</{tag}>"[::-1]) - len(f"</{tag}>") + 1
-    has = F.contains(xml, F.lit(f"</{tag}>"))
-    return F.when(has, F.concat(F.substring(xml, F.lit(1), at), addition, F.substring(xml, at + 1, F.length(xml)))).otherwise(xml)
+    close = f"</{tag}>"
+
+    def spliced(text: Column) -> Column:
+        at = F.length(text) - F.instr(F.reverse(text), close[::-1]) - len(close) + 1
+        return F.when(F.contains(text, F.lit(close)), F.concat(F.substring(text, F.lit(1), at), addition, F.substring(text, at + 1, F.length(text)))).otherwise(text)
+
+    return let(xml, spliced)
 
 
 def escape_attr(value: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import house, linked, manuscripts, prose, redlines, relational, workload
+from vellum.plans import carried, house, linked, manuscripts, prose, redlines, relational, workload
 from vellum.plans.registry import Query
 
-MODULES = (manuscripts, relational, prose, house, workload, redlines, linked)
+MODULES = (manuscripts, relational, prose, house, workload, redlines, linked, carried)
 
 
 def queries() -> dict[str, Query]:
