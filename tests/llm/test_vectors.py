@@ -92,3 +92,19 @@ def test_odd_rows(spark, search):
     assert [v for _, v, _ in got[0]] == [1, 1, 100] + [200] * zero
     assert (200 in got) == zero
     assert search(frame(spark, []), "id % 100 = 0").count() == 0
+
+
+def test_vectors_too_large_for_a_long_take_no_part(spark):
+    rows = [(0, [1.0, 2.0], 1, "a"), (1, [1e300, 1.0], 1, "a"), (2, [3.0, -1e9], 1, "a"), (3, [5.0, 1.0], 1, "a"), (4, [1e6, 0.0], 1, "a")]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, id string")
+    got = table(saat.top_k(docs, "id % 100 = 0"))
+    assert [(v, s) for _, v, s in got[0]] == [(4, 1024 * 1024 * 10**6), (3, 1024 * 1024 * 7)]
+
+
+def test_the_centre_is_the_mean_of_all_rows(spark):
+    x = data(900, 8, 5)
+    docs = frame(spark, [(int(i), v.tolist(), 0, "x") for i, v in enumerate(x)] + [(2000, [1.0, 3.0], 0, "y")]).repartition(5)
+    found = onebit.centres(vectors.pack(docs, "vec_id", "embedding", zero=False))
+    assert sorted(found) == [2, 8]
+    np.testing.assert_allclose(found[8], x.astype(np.float64).mean(axis=0), atol=1e-12)
+    assert onebit.centres(vectors.pack(docs.limit(0), "vec_id", "embedding", zero=False)) == {}
