@@ -6,7 +6,7 @@ often, decides its verdict.  Anchors are few and their size is checked before th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.text import normalize_glyphs
@@ -40,3 +40,25 @@ def resolve(places: DataFrame, anchors: DataFrame, normalize: bool = False) -> D
     hits = F.coalesce("hits", F.lit(0))
     verdict = F.when(hits == 0, "missing").when(hits == 1, "found").otherwise("ambiguous")
     return joined.select("doc", "anchor", verdict.alias("verdict"), hits.alias("hits"), "place")
+
+
+KINDS = ("replace", "append", "insert_after", "present")
+
+
+def parse_spec(lines: DataFrame, line: str = "value") -> DataFrame:
+    """``(anchor, kind, scope, text)`` of a spec, an anchor a line: scope and text parted by a tab, a kind before the scope with ``@``; comments and blank lines are none."""
+    wanted = lines.where(f"trim({line}) <> '' AND NOT startswith(trim({line}), '#')")
+    place, text = F.split(line, "\t", 2)[0], F.try_element_at(F.split(line, "\t", 2), F.lit(2))
+    kind = F.when(F.contains(place, F.lit("@")), F.substring_index(place, "@", 1)).otherwise("replace")
+    return wanted.select(F.concat_ws("=", place, text).alias("anchor"), kind.alias("kind"), F.substring_index(place, "@", -1).alias("scope"), F.coalesce(text, F.lit("")).alias("text")).where(F.col("kind").isin(*KINDS))
+
+
+def read_spec(spark: SparkSession, path: str) -> DataFrame:
+    return parse_spec(spark.read.text(path))
+
+
+def parse_anchor(said: str) -> tuple[str, str, str]:
+    """(kind, scope, text) of an anchor as a command line has it: ``[kind@]scope=text``."""
+    place, _, text = said.partition("=")
+    kind, at, scope = place.rpartition("@")
+    return (kind if at else "replace"), scope, text
