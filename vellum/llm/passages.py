@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,15 +204,19 @@ def _windows(least: int, gram: int):
 
 
 def _resolve(least: int):
-    """Rows sorted by print, id, mark and place: the ranges that came before."""
+    """Rows sorted by print, id, mark and place: the ranges that came before.  Those without a print are such ranges already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["print", "null", "id", "mark", "at", "hash", "other"]
         held = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, np.uint64)] * 2  # first windows of the print that may go on
         for batch in batches:
+            known = batch.column(0).is_null()
+            if known.true_count:
+                yield batch.filter(known).select(["id", "mark", "at", "upto"])
+                batch = batch.filter(pc.invert(known))
             if not batch.num_rows:
                 continue
-            raw = batch.column(4).to_pylist()
+            raw = batch.column(5).to_pylist()
             sizes = np.array([len(x) // WIDE for x in raw], dtype=np.int64)
             row = np.repeat(np.arange(len(raw)), sizes)
             ids = batch.column(1)
@@ -263,11 +268,10 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     repeated = cut(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"))
     chosen = prints.join(repeated, "print").groupBy("owner").agg(F.collect_set("print").alias("repeated"))
     picked = own.withColumn("owner", owner).join(chosen, "owner").select("id", "mark", "t", "repeated")
-    found = cut(picked.mapInArrow(_windows(least, gram), "print long, id long, mark long, at int, upto int, hashes binary"))
-    order = ["print", "id", "mark", "at"]
-    met = found.where("print IS NOT NULL").select(*order, "hashes")
-    met = met.repartition("print").sortWithinPartitions(*order).mapInArrow(_resolve(least), "id long, mark long, at int, upto int")
-    ranges = found.where("print IS NULL").select("id", "mark", "at", "upto").unionByName(met)
+    found = picked.mapInArrow(_windows(least, gram), "print long, id long, mark long, at int, upto int, hashes binary")
+    # ranges that a batch has settled go along, dealt by document, so windows are written once
+    dealt = found.repartition(F.coalesce("print", F.xxhash64("id", "mark"))).sortWithinPartitions("print", "id", "mark", "at")
+    ranges = dealt.mapInArrow(_resolve(least), "id long, mark long, at int, upto int")
     merged = F.pandas_udf(_merged, "array<struct<a: int, b: int>>")
     return ranges.groupBy("id", "mark").agg(F.collect_list(F.struct("at", "upto")).alias("ranges")).select("id", "mark", merged("ranges").alias("runs"))
 
