@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.plans import carried, house, linked, manuscripts, numbered, prose, protocol, redlines, relational, tabled, workload
+from vellum.plans import carried, house, layered, linked, manuscripts, numbered, prose, protocol, redlines, relational, tabled, workload
 from vellum.plans.registry import Query
 
-MODULES = (manuscripts, relational, prose, house, workload, redlines, linked, carried, numbered, protocol, tabled)
+MODULES = (manuscripts, relational, prose, house, workload, redlines, linked, carried, numbered, protocol, tabled, layered)
 
 
 def queries() -> dict[str, Query]:
