@@ -160,7 +160,8 @@ def _renumbered(blob: bytes, pairs: dict[str, str], spans: Callable[[str], list[
     if root is None:
         return blob
     for p in root.iter(W + "p"):
-        for start, stop, old in sorted(spans(text_of(p)), reverse=True):
+        text = text_of(p)
+        for start, stop, old in sorted(spans(text), reverse=True) if any(c.isdigit() for c in text) else ():
             if old in pairs:
                 _replace_span(p, start, stop, pairs[old])
     if names is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.operators import linkage, numbering
+from vellum.operators import documents, linkage, numbering
 from vellum.plans.redlines import DOC, NS, run, x
 from vellum.plans.registry import Registry, table
 
@@ -75,7 +75,7 @@ def sections_renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {DOC}, 'Table 5. Things' AS caption, 'As Table 5 and Figure 1 show, and Tables 5 and 3.' AS said, 'Table5' AS mark FROM orders")
 def exhibits_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions, mentions and bookmarks of tables from the second on, moved by three."""
-    made = numbering.shift_exhibits(packages(spark, sf_dir), "Table", 2, 3)
+    made = documents.held(numbering.shift_exhibits(packages(spark, sf_dir), "Table", 2, 3))
     texts = linkage.paragraphs(made)
     one = lambda where, name: texts.where(where).select("doc", F.col("text").alias(name))
     marks = linkage.places(made).where("kind = 'mark'").select("doc", F.col("name").alias("mark"))
