@@ -132,11 +132,19 @@ def parsed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), citations.parse_reference(entry).alias("r")).select("doc", "r.*")
 
 
-@query()
+NUMBERED_LINES_SQL = "SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(pos AS VARCHAR) || ': ' || line AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
+
+
+@query(
+    f"""
+    SELECT CAST(doc_id AS VARCHAR) AS doc, 'deleted' AS change, pos AS before_pos, CAST(NULL AS INTEGER) AS after_pos, line AS before, CAST(NULL AS VARCHAR) AS after FROM ({NUMBERED_LINES_SQL}) WHERE (doc_id + pos) % 20 = 0
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), 'changed', pos, pos, line, line || ' and more' FROM ({NUMBERED_LINES_SQL}) WHERE (doc_id + pos) % 20 = 10
+    """
+)
 def aligned_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What changed between documents and versions of them with lines changed, dropped, moved and added."""
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    pick = F.pmod(F.xxhash64("doc", "pos"), F.lit(20))
-    after = lines.where(pick != 0).withColumn("text", F.when(pick == 1, F.concat("text", F.lit(" and more"))).otherwise(F.col("text")))
-    after = after.withColumn("pos", F.when(pick == 2, F.col("pos") + 5).otherwise(F.col("pos")).cast("int"))
-    return compare.changed_paragraphs(lines, after)
+    """What changed between documents and versions of them with lines dropped and changed; numbers tell equal lines apart."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    before = lines.select("doc_id", F.col("doc_id").cast("string").alias("doc"), "pos", F.concat(F.col("pos").cast("string"), F.lit(": "), "line").alias("text"))
+    pick = F.pmod(F.col("doc_id") + F.col("pos"), F.lit(20))
+    after = before.where(pick != 0).withColumn("text", F.when(pick == 10, F.concat("text", F.lit(" and more"))).otherwise(F.col("text")))
+    return compare.changed_paragraphs(before.select("doc", "pos", "text"), after.select("doc", "pos", "text"))
