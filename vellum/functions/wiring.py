@@ -15,6 +15,8 @@ from vellum.functions.editing import Refused, _nodes, _split_run, read, write
 from vellum.functions.wordml import M, W, text_of
 
 BLUE = "Hyperlink"
+#: Elements that make links; all but the first make fields.
+LINKING = (W + "hyperlink", W + "fldChar", W + "fldSimple")
 _YEARS = r"\d{4}[a-z]?(?:,\s*\d{4}[a-z]?)*"
 _NAMES = r"[^()\d]+?"
 
@@ -86,7 +88,7 @@ def places(root: ET.Element) -> Iterator[dict]:
             yield {"kind": "mark", "name": e.get(W + "name"), "para": -1, "start": 0, "stop": 0, "label": "", "outer": None}
     for at, p in enumerate(paragraphs):
         seen, opened, held = 0, {}, []
-        fields = {id(f.begin): f for f in markup.fields(p) if f.begin is not None and f.end is not None and markup.target_of(f.instruction)}
+        fields = {id(f.begin): f for f in (markup.fields(p) if any(e.tag in LINKING[1:] for e in p.iter()) else ()) if f.begin is not None and f.end is not None and markup.target_of(f.instruction)}
         ends: dict[int, list] = {}
         marks_open: list[str] = []
 
@@ -135,6 +137,8 @@ PLACES = "kind string, name string, para int, start int, stop int, label string,
 def masked_text(paragraph: ET.Element) -> str:
     """The visible text with what links show already blotted out."""
     out = "".join(t.text or "" for t, _, _ in _nodes(paragraph))
+    if not any(e.tag in LINKING for e in paragraph.iter()):
+        return out
     for x in places_of(paragraph):
         if x["kind"] == "link":
             out = out[: x["start"]] + "\0" * (x["stop"] - x["start"]) + out[x["stop"] :]
