@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import layers
 from vellum.plans.redlines import DOC, NS, run, x
-from vellum.plans.registry import Registry, table
+from vellum.plans.registry import Registry, orders, table
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -31,7 +31,7 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         media = when(3, F.lit("word/media/image9.png"), F.lit("word/media/image1.png")) if new else F.lit("word/media/image1.png")
         parts = [(F.lit("word/document.xml"), body), (header, x(f"<w:hdr {NS}><w:p>", run(x("Running head of ", c)), "</w:p></w:hdr>")), (media, x("bytes", c))]
         made = F.array(*(F.struct(p.alias("part"), b.cast("binary").alias("blob")) for p, b in parts))
-        return table(spark, sf_dir, "orders").select(k.cast("string").alias("doc"), F.explode(made).alias("p")).select("doc", "p.*")
+        return orders(spark, sf_dir).select(k.cast("string").alias("doc"), F.explode(made).alias("p")).select("doc", "p.*")
 
     return version(False), version(True)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import documents, linkage, numbering
 from vellum.plans.redlines import DOC, NS, run, x
-from vellum.plans.registry import Registry, table
+from vellum.plans.registry import Registry, orders
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -39,7 +39,7 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "</w:body></w:document>",
     )
     made = F.array(F.struct(F.lit("word/document.xml").alias("part"), body.cast("binary").alias("blob")), F.struct(F.lit("word/numbering.xml").alias("part"), F.lit(NUMBERING).cast("binary").alias("blob")))
-    return table(spark, sf_dir, "orders").select(k.cast("string").alias("doc"), F.explode(made).alias("p")).select("doc", "p.*")
+    return orders(spark, sf_dir).select(k.cast("string").alias("doc"), F.explode(made).alias("p")).select("doc", "p.*")
 
 
 @query(f"SELECT {DOC}, pos, level, number FROM orders, (VALUES (5, 0, '1.'), (6, 1, '1.a)'), (7, 1, '1.b)'), (8, 0, '2.'), (9, 1, '2.a)')) v(pos, level, number)")

@@ -37,3 +37,13 @@ class Registry:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Tasks for each core over which orders are dealt before documents are written from them.
+TASKS = 4
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of all orders, dealt out by key: a document is a hundred times its order, so the table's few splits would keep most cores idle."""
+    keys = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return keys.repartition(TASKS * spark.sparkContext.defaultParallelism, "o_orderkey")
