@@ -36,6 +36,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of the least id, null last.
 
+    Candidates come from op9's tries of fingerprints, and from MinHash for those farther apart than its three
+    bits; each link is checked on the whole sets of shingles.
     Texts without words, null ones among them, are one group.  Repeated rows are copies of each other.
     """
     return resemblance.keep_one_of_each(docs)

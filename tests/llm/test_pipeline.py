@@ -81,3 +81,18 @@ def test_stages_of_an_empty_table(spark, folder):
 
 def test_modules_serve_the_pipeline():
     assert linededup.MIN_WORDS == 50 and mixing.WEIGHTS == (5, 2, 1) and simhash.BUDGET == 3
+
+
+def test_near_duplicates_are_looked_for_in_the_tries_and_checked(spark, monkeypatch):
+    asked = []
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda classes: asked.append(sorted(r["fp"] for r in classes.collect())) or links(classes))
+    prose = " ".join(f"{w}{i % 29}" for i in range(20) for w in WORDS)
+    # a line of seven words outweighs what differs: one fingerprint, but sets far apart
+    line = " ".join(WORDS[:7] * 100)
+    texts = [prose, prose + " more", f"{line} " + " ".join(f"one{i}" for i in range(30)), f"{line} " + " ".join(f"two{i}" for i in range(30))]
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    assert prints[2] == prints[3] and (prints[0] ^ prints[1]).bit_count() <= 3
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()) == [0, 2, 3]
+    assert len(asked) == 1 and len(asked[0]) == len(set(prints))

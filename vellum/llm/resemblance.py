@@ -1,12 +1,13 @@
 """Near-duplicates by the Jaccard similarity of word shingles, as whole texts show it.
 
-Candidates come from MinHash: ``BANDS`` bands of ``ROWS`` least hashes, so a pair at the similarity
-sought, 0.8, shares one with a probability of 0.99997 (1 - (1 - 0.8^4)^20), one above it likelier.
+Candidates come from the SimHash tries of ``simhash``, as texts within its three bits, and, for those farther
+apart, from MinHash: ``BANDS`` bands of ``ROWS`` least hashes, so a pair at the similarity sought, 0.8,
+shares one with a probability of 0.99997 (1 - (1 - 0.8^4)^20), one above it likelier.
 Each link is checked on the whole sets of shingles.  Equal sets enter once.
 
 Wanted are the groups that links make, so a pair in one group already needs no check.  The members of
-a band are first held against one of them, then, where several groups are left in it, those of other
-groups against another.  What is still in bands of several groups is joined by prefixes, which is exact:
+a group of fingerprints and those of a band are first held against one of them, then, where several
+groups are left in a band, those of other groups against another.  What is still in bands of several groups is joined by prefixes, which is exact:
 with shingles in order of how many of these sets have them, sets of similarity 0.8 share one of the
 first n - ceil(0.8 n) + 1.  Sets that only share a common passage have shingles of their own in front
 and never meet, however many they are.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import cut, free_name, text_or_empty, tidy
 from vellum.llm.components import components
+from vellum.llm.simhash import fingerprint, grouped_prints
 
 SHINGLE = 5
 #: Least similarity of near-duplicates, as a fraction of whole numbers.
@@ -60,14 +62,15 @@ def _signed(values: list[int]) -> np.ndarray:
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signs, keys, ends = [], [], [0]
+            signs, prints, keys, ends = [], [], [], [0]
             for text in batch.column(2).cast(pa.binary()).to_pylist():
+                prints.append(fingerprint(text))
                 own = shingles(text, size)
                 signs.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                 keys += bands(own) if len(own) else []
                 ends.append(len(keys))
             listed = pa.ListArray.from_arrays(np.array(ends, np.int32), pa.array(_signed(keys)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_signed(signs)), listed], names=["id", "mark", "sign", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_signed(signs)), pa.array(_signed(prints)), listed], names=["id", "mark", "sign", "fp", "bands"])
         tidy()
 
     return run
@@ -121,17 +124,27 @@ def _prefix_pairs(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.select(F.col("sign").alias("u"), "v", F.col("root").alias("ru"), "rv")
 
 
+def _print_pairs(own: DataFrame) -> DataFrame:
+    """``(u, v)``: the least set of each group of fingerprints, by the tries of ``simhash``, with every other one."""
+    prints = own.select("sign", "fp").distinct()
+    placed = cut(prints.join(grouped_prints(cut(prints.select("fp").distinct())), "fp").select("sign", "root").distinct())
+    least = placed.groupBy("root").agg(F.min("sign").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return cut(placed.join(least, "root").where("sign <> u").select("u", F.col("sign").alias("v")).distinct())
+
+
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE) -> DataFrame:
     """``(id, mark, root)``: rows that links of similarity 0.8 or more join have one root; ``mark`` hashes the text."""
     text = text_or_empty(text_column)
     named = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("t"))
-    own = cut(named.mapInArrow(_signatures(size), "id long, mark long, sign long, bands array<long>"))
+    own = cut(named.mapInArrow(_signatures(size), "id long, mark long, sign long, fp long, bands array<long>"))
     once = own.where("size(bands) > 0").groupBy("sign").agg(F.min(F.struct("mark", "id", "bands")).alias("one"))
     once = cut(once.select("sign", "one.id", "one.mark", "one.bands"))
     keyed = once.select("sign", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.min("sign").alias("lead"), F.count("*").alias("n")).where("n > 1")
     members = cut(keyed.join(shared, "band"))
-    wanted = once.join(members.select("sign").distinct(), "sign").select("sign", F.col("id").alias("_id"), F.col("mark").alias("_mark"))
+    tried = _print_pairs(own.where("size(bands) > 0"))
+    known = cut(members.select("sign").union(tried.select("u")).union(tried.select("v")).distinct())
+    wanted = once.join(known, "sign").select("sign", F.col("id").alias("_id"), F.col("mark").alias("_mark"))
     texts = named.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("sign", "t")
     sets = cut(texts.mapInArrow(_sets(size), "sign long, own binary").dropDuplicates(["sign"]))
     near = F.pandas_udf(_near, "boolean")
@@ -151,13 +164,14 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         several = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
         return cut(placed.join(several, "band"))
 
-    groups = members.select("sign", F.col("sign").alias("root")).distinct()
-    groups = merged(groups, links(members.where("sign <> lead").select(F.col("lead").alias("u"), F.col("sign").alias("v"), F.col("lead").alias("ru"), F.col("sign").alias("rv"))))
+    groups = known.select("sign", F.col("sign").alias("root"))
+    starred = members.where("sign <> lead").select(F.col("lead").alias("u"), F.col("sign").alias("v"))
+    groups = merged(groups, links(starred.union(tried).select("u", "v", F.col("u").alias("ru"), F.col("v").alias("rv"))))
     rest = unsettled(groups)
     if not rest.isEmpty():
         lead = rest.groupBy("band").agg(F.min_by(F.struct(F.col("sign").alias("u"), F.col("root").alias("ru")), F.xxhash64("sign", "band")).alias("l"))
-        tried = rest.join(lead, "band").where("root <> l.ru").select("l.u", F.col("sign").alias("v"), "l.ru", F.col("root").alias("rv"))
-        groups = merged(groups, links(tried))
+        again = rest.join(lead, "band").where("root <> l.ru").select("l.u", F.col("sign").alias("v"), "l.ru", F.col("root").alias("rv"))
+        groups = merged(groups, links(again))
         rest = unsettled(groups)
     if not rest.isEmpty():
         groups = merged(groups, links(_prefix_pairs(sets, rest.select("sign", "root").distinct())))

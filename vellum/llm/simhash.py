@@ -215,6 +215,12 @@ def links(classes: DataFrame) -> DataFrame:
     return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_links, "u long, v long")
 
 
+def grouped_prints(classes: DataFrame) -> DataFrame:
+    """``classes``, distinct ``fp`` with any columns, and ``root``: the least fingerprint that links reach."""
+    roots = components(links(classes.select("fp")))
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(id, fp, component)`` per row: the component is the least id that links reach.
 
@@ -224,8 +230,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     own = cut(fingerprints(docs, id_column, text_column))
     classes = cut(own.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(classes.select("fp")))
-    grouped = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    grouped = grouped_prints(classes)
     least = grouped.groupBy("root").agg(F.min("least").alias("component"))
     named = grouped.join(least, "root").select("fp", "component")
     return own.join(named, "fp").select("id", "fp", "component")
