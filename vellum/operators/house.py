@@ -93,6 +93,46 @@ def audit(parts: DataFrame, rules: dict[str, Face] = HOUSE) -> DataFrame:
     return found.select("doc", "pos", "kind", "finding", "text").distinct()
 
 
+def _sizes(root: ET.Element, styles: ET.Element | None) -> dict[int, str]:
+    """By paragraph, the greatest size that a run of it comes to (see :func:`apparatus.resolve_runs`)."""
+    sized = apparatus.style_sizes(styles)
+    out: dict[int, str] = {}
+    for r in apparatus._run_rows(root):
+        value = dict(r["direct"]).get("sz") or sized(r["rstyle"], r["pstyle"])
+        if value is not None:
+            out[r["pos"]] = max(value, out.get(r["pos"], value))
+    return out
+
+
+def tally(parts: DataFrame, rules: dict[str, Face] = HOUSE) -> DataFrame:
+    """``(doc, captions, notes, equations, left)``: what the rules apply to, and how many findings :func:`audit` has, in one pass over a document."""
+
+    def read(blobs: dict[str, bytes]) -> Iterator[dict]:
+        root = wordml.parse(blobs.get(documents.DOCUMENT, b""))[0]
+        rows = [] if root is None else list(_faces(root))
+        if not rows:
+            return
+        asked = any(r["half_points"] is None for r in rows)
+        sizes = _sizes(root, wordml.parse(blobs["word/styles.xml"])[0] if "word/styles.xml" in blobs else None) if asked else {}
+        found = set()
+        for r in rows:
+            face, own = rules.get(r["kind"]), r["half_points"]
+            if own is None and (sizes.get(r["pos"]) or "").strip().lstrip("+-").isdigit():
+                own = int(sizes[r["pos"]])
+            if face is None:
+                continue
+            if face.font and r["font"] is not None and r["font"] != face.font:
+                found.add((r["pos"], "face"))
+            if face.half_points and own is not None and own != face.half_points:
+                found.add((r["pos"], "size"))
+            if face.before is not None and (r["before"] or 0) != face.before:
+                found.add((r["pos"], "space"))
+        kinds = [k for _, k in {(r["pos"], r["kind"]) for r in rows}]
+        yield {f"{k}s": kinds.count(k) for k in ("caption", "note", "equation")} | {"left": len(found)}
+
+    return documents.rows_of_whole(parts, read, "captions long, notes long, equations long, left long")
+
+
 def apply(parts: DataFrame, rules: dict[str, Face] = HOUSE) -> DataFrame:
     """The parts with the house's faces on captions, notes and numbered equations, fields' machinery left alone."""
 
@@ -132,8 +172,12 @@ def smarten_parts(parts: DataFrame) -> DataFrame:
         turned = F.transform(pieces, lambda p: F.when(p.rlike(node), F.concat(F.regexp_extract(p, node, 1), smarten(F.regexp_extract(p, node, 2)), F.lit("</w:t>"))).otherwise(p))
         return F.array_join(turned, "")
 
-    own = F.col("part").isin(*gates.TEXT_PARTS)
-    return parts.withColumn("blob", F.when(own, edit_text(F.col("blob").cast("string")).cast("binary")).otherwise(F.col("blob")))
+    def edited(part: Column, blob: Column) -> Column:
+        return F.when(part.isin(*gates.TEXT_PARTS), edit_text(blob.cast("string")).cast("binary")).otherwise(blob)
+
+    if "rows" in parts.columns:
+        return parts.withColumn("rows", F.transform("rows", lambda r: F.struct(r["part"].alias("part"), edited(r["part"], r["blob"]).alias("blob"))))
+    return parts.withColumn("blob", edited(F.col("part"), F.col("blob")))
 
 
 def table_spacing(parts: DataFrame, before: int = 120) -> DataFrame:
@@ -165,26 +209,35 @@ def restore_math_glyphs(parts: DataFrame, source: DataFrame) -> DataFrame:
     """The parts with equations' glyphs as their source had them, where that differs only by glyphs a word processor flattens and is clear."""
     from vellum.functions import equations
     from vellum.functions.batched import batched
-    from vellum.functions.text import normalize_glyphs
+    from vellum.functions.text import GLYPHS, PLAIN
 
-    maths = lambda p: gates.xml_of(p, documents.DOCUMENT).select("doc", F.explode(equations.equations(F.col("xml"))).alias("e")).select("doc", equations.tokens(F.col("e")).alias("t")).select("doc", "t", normalize_glyphs(F.col("t")).alias("flat"))
-    clear = maths(source).groupBy("doc", "flat").agg(F.min("t").alias("want"), F.countDistinct("t").alias("n")).where("n = 1")
-    off = maths(parts).join(clear, ["doc", "flat"]).where("t <> want").groupBy(F.col("doc").alias("_d")).agg(F.collect_set(F.struct("t", "want")).alias("_fix"))
+    flat = str.maketrans(GLYPHS, PLAIN)
+    had = gates.xml_of(documents.loose(source), documents.DOCUMENT).select(F.col("doc").alias("_d"), F.transform(equations.equations(F.col("xml")), equations.tokens).alias("_had")).where("size(_had) > 0")
 
-    def fix(blob: bytes, pairs: list) -> bytes:
+    def fix(blob: bytes, had: list[str]) -> bytes:
         root, _ = wordml.parse(bytes(blob))
         if root is None:
             return bytes(blob)
-        want = {p["t"]: p["want"] for p in pairs}
+        clear: dict[str, set[str]] = {}
+        for t in had:
+            clear.setdefault(t.translate(flat), set()).add(t)
+        changed = False
         for e in root.iter(M + "oMath"):
             nodes = list(e.iter(M + "t"))
-            new = want.get("".join(t.text or "" for t in nodes))
-            for t in nodes if new else ():
+            own = "".join(t.text or "" for t in nodes)
+            want = clear.get(own.translate(flat), ())
+            if len(want) != 1 or own in want:
+                continue
+            (new,) = want
+            changed = True
+            for t in nodes:
                 n = len(t.text or "")
                 t.text, new = new[:n], new[n:]
-        return wordml.serialise(root)
-
-    joined = parts.join(off, F.col("doc") == F.col("_d"), "left")
-    hit = (F.col("part") == documents.DOCUMENT) & F.col("_fix").isNotNull()
-    made = batched(fix, "binary")(F.when(hit, F.col("blob")), F.coalesce("_fix", F.array().cast("array<struct<t:string,want:string>>")))
-    return joined.withColumn("blob", F.when(hit, made).otherwise(F.col("blob"))).drop("_d", "_fix")
+        return wordml.serialise(root) if changed else bytes(blob)
+
+    joined = parts.join(documents.large(had), F.col("doc") == F.col("_d"), "left")
+    if "rows" in parts.columns:
+        return documents.repackaged(joined, lambda blobs, had: {documents.DOCUMENT: fix(blobs[documents.DOCUMENT], had)} if had and documents.DOCUMENT in blobs else {}, "_had")
+    hit = (F.col("part") == documents.DOCUMENT) & F.col("_had").isNotNull()
+    made = batched(fix, "binary")(F.when(hit, F.col("blob")), F.coalesce("_had", F.array().cast("array<string>")))
+    return joined.withColumn("blob", F.when(hit, made).otherwise(F.col("blob"))).drop("_d", "_had")
