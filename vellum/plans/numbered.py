@@ -20,7 +20,7 @@ NUMBERING = (
 )
 
 
-def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packages(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """``(doc, part, blob)``: a numbered list, typed section numbers with faults by the key, mentions, and a table and a figure with captions."""
     k = F.col("o_orderkey")
     item = lambda level, text, num=5: x(f'<w:p><w:pPr><w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="{num}"/></w:numPr></w:pPr>', run(text), "</w:p>")
@@ -39,7 +39,8 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "</w:body></w:document>",
     )
     made = F.array(F.struct(F.lit("word/document.xml").alias("part"), body.cast("binary").alias("blob")), F.struct(F.lit("word/numbering.xml").alias("part"), F.lit(NUMBERING).cast("binary").alias("blob")))
-    return orders(spark, sf_dir).select(k.cast("string").alias("doc"), F.explode(made).alias("p")).select("doc", "p.*")
+    packed = orders(spark, sf_dir).select(k.cast("string").alias("doc"), made.alias("rows"))
+    return packed if whole else documents.loose(packed)
 
 
 @query(f"SELECT {DOC}, pos, level, number FROM orders, (VALUES (5, 0, '1.'), (6, 1, '1.a)'), (7, 1, '1.b)'), (8, 0, '2.'), (9, 1, '2.a)')) v(pos, level, number)")
@@ -75,11 +76,10 @@ def sections_renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {DOC}, 'Table 5. Things' AS caption, 'As Table 5 and Figure 1 show, and Tables 5 and 3.' AS said, 'Table5' AS mark FROM orders")
 def exhibits_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions, mentions and bookmarks of tables from the second on, moved by three."""
-    made = documents.held(numbering.shift_exhibits(packages(spark, sf_dir), "Table", 2, 3))
-    texts = linkage.paragraphs(made)
-    one = lambda where, name: texts.where(where).select("doc", F.col("text").alias(name))
-    marks = linkage.places(made).where("kind = 'mark'").select("doc", F.col("name").alias("mark"))
-    return one("text LIKE 'Table%'", "caption").join(one("text LIKE 'As %'", "said"), "doc").join(marks, "doc")
+    found = linkage.outlines(numbering.shift_exhibits(packages(spark, sf_dir, whole=True), "Table", 2, 3))
+    like = lambda start: F.explode(F.filter("texts", lambda t: t.like(start)))
+    captions = found.select("*", like("Table%").alias("caption"))
+    return captions.select("*", like("As %").alias("said")).select("doc", "caption", "said", F.explode("marks").alias("mark"))
 
 
 @query(f"SELECT {DOC}, 13 AS pos, 'number-out-of-order' AS finding, 'Table 2' AS subject FROM orders")
