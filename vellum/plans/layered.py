@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.operators import layers
+from vellum.operators import documents, layers
 from vellum.plans.redlines import DOC, NS, run, x
 from vellum.plans.registry import Registry, orders, table
 
@@ -74,7 +74,7 @@ def overrides_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rewrites of a round merged into those stored."""
     before, after = sides(spark, sf_dir)
     pages = lambda d: d.withColumn("blob", F.regexp_replace(F.col("blob").cast("string"), "<w:t>[12]</w:t>", "<w:t>#</w:t>").cast("binary"))
-    fresh = layers.build_overrides(pages(before), pages(after)).where("old LIKE 'Old%'")
+    fresh = documents.held(layers.build_overrides(pages(before), pages(after)).where("old LIKE 'Old%'"))
     stored = fresh.where("CAST(doc AS BIGINT) % 8 = 1").select("doc", "old", F.lit("Some words").alias("new"))
     return layers.update_overrides(stored, fresh)
 
