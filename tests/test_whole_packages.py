@@ -115,3 +115,16 @@ def test_rewrites_are_found_without_a_group_a_document(spark, orders):
 def test_lists_change_as_paragraphs_do(spark):
     both = spark.createDataFrame([("d", ["a", "b", "c"], ["a", "x", "c", "d"])], "doc string, before array<string>, after array<string>")
     assert [(r["change"], r["before_pos"], r["after_pos"]) for r in compare.changed_lists(both).collect()] == [("changed", 1, 1), ("inserted", None, 3)]
+
+
+def test_trees_are_written_as_the_library_writes_them():
+    import xml.etree.ElementTree as ET
+
+    from vellum.functions import wordml
+
+    wordml.serialise(ET.Element("x"))
+    blobs = [body(line("a &amp; &lt;b&gt; é"), line(formula("x"), style="Q")), b'<a b="&quot;1&#10;2"><c/>t<d xml:space="preserve"> </d> u</a>', b'<n:a xmlns:n="urn:no-prefix"><n:b/></n:a>']
+    for blob in blobs:
+        root = wordml.parse(blob)[0]
+        assert wordml.serialise(root).partition(b"\n")[2] == ET.tostring(root, encoding="utf-8")
+    assert wordml._written(wordml.parse(blobs[0])[0]) and wordml._written(wordml.parse(blobs[2])[0]) is None
